@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import cluster
+from . import cluster, pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +18,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.pairs_across(table(spark, sf_dir, "molecules")).select("key_a", "key_b")
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.clusters(table(spark, sf_dir, "molecules"))
