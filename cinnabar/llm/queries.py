@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import cluster, pairs
+from . import bpe, cluster, diverse, knn, packing, pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,11 +18,31 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p1_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diverse.subset(table(spark, sf_dir, "molecules"), 200)
+
+
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pairs_across(table(spark, sf_dir, "molecules")).select("key_a", "key_b")
 
 
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.neighbour_pairs(table(spark, sf_dir, "molecules"))
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.clusters(table(spark, sf_dir, "molecules"))
+
+
+@query
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+@query
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf_dir, "documents"))
