@@ -6,5 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import table
+from ..sources import records
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.load(table(spark, sf_dir, "raw_records"), loaded=False)
+
+
+@query
+def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.load(table(spark, sf_dir, "raw_records")).where("reason is null").drop("reason", "properties")
