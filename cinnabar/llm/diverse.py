@@ -100,8 +100,7 @@ def core_sets(df: DataFrame, k: int, words: int) -> DataFrame:
             for s in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(s, BLOCK)
                 w, ok = bits.words_of(part["fp"], words)
-                w[~ok] = 0
-                held.append((part["key"].to_numpy(zero_copy_only=False), part["side"].to_numpy(zero_copy_only=False), w))
+                held.append((part["key"].to_numpy(zero_copy_only=False), part["side"].to_numpy(zero_copy_only=False), np.where(ok[:, None], w, np.uint64(0))))
                 if sum(len(x[0]) for x in held) >= BLOCK:
                     merge()
         if held:
