@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, cluster, diverse, knn, packing, pairs
+from . import bpe, cluster, diverse, knn, mojibake, packing, pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,3 +46,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.affected(table(spark, sf_dir, "documents"))
+
+
+@query
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restored(table(spark, sf_dir, "documents"))
