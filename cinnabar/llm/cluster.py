@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -260,3 +260,133 @@ def clusters(df: DataFrame, key: str = "doc_key", fingerprint: str = "_fingerpri
     found = labels(df, key, fingerprint, threshold, words)
     sizes = found.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") >= least).select("root")
     return found.join(sizes, "root").select(F.col("node").alias(key), F.col("root").alias("cluster_key"))
+
+
+BLOCK = 20_000  #: rows of a component that are compared with as many at a time
+LOOSE = 0.5  #: a component of which no member is linked to this part is split
+
+
+def _against(placed: DataFrame, words: int, threshold: float, total: int, best: bool) -> DataFrame:
+    """(key, m, n): of each row's linked rows of its component the number n, or with ``best`` the one (m = key, n = degree) that ranks first.
+
+    ``placed`` is (root, key, fp, degree, blocks). A component of several blocks is compared block by block, each pair of
+    blocks in a task of its own. Rank: degree, then the smaller key.
+    """
+    dtype = np.dtype([("cell", "<u8"), ("key", "<i8"), ("degree", "<i8"), ("side", "u1"), ("w", "<u8", (words,))])
+    targets = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, ok = bits.words_of(batch["fp"], words)
+            if not ok.any():
+                continue
+            root, key, degree, blocks = (batch[c].to_numpy(zero_copy_only=False)[ok] for c in ("root", "key", "degree", "blocks"))
+            base = np.empty(len(key), dtype)
+            base["cell"], base["key"], base["degree"], base["side"], base["w"] = bits.mix(root.view(np.uint64)), key, degree, 3, w[ok]
+            parts = [base[blocks == 1]]
+            for b in np.unique(blocks[blocks > 1]):
+                some = base[blocks == b]
+                own = bits.mix(some["key"].view(np.uint64)) % np.uint64(b)
+                for other in range(int(b)):
+                    for side, i, j in ((1, own, np.uint64(other)), (2, np.uint64(other), own)):
+                        part = some.copy()
+                        part["cell"] = bits.mix(part["cell"] ^ bits.mix(i * np.uint64(b) + j + np.uint64(1)))
+                        part["side"] = np.where(own == other, 3 if side == 1 else 0, side)
+                        parts.append(part[part["side"] > 0])
+            records = np.concatenate(parts)
+            yield bits.blocks_batch(list(bits.split(records, (records["cell"] % np.uint64(targets)).astype(np.int64))))
+
+    def receive(pid: int, records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        records = records[np.argsort(records["cell"], kind="stable")]
+        cuts = np.flatnonzero(np.diff(records["cell"])) + 1
+        keys, ms, ns = [], [], []
+        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(records)]):
+            group = records[s:e]
+            group = group[np.lexsort((group["key"], -group["degree"]))]  # by rank
+            flat = np.unpackbits(np.ascontiguousarray(group["w"]).view(np.uint8).reshape(len(group), -1), axis=1).astype(np.float32)
+            size = flat.sum(axis=1)
+            left, right = np.flatnonzero(group["side"] & 1), np.flatnonzero(group["side"] & 2)
+            fr, sr = flat[right], size[right]
+            for a in range(0, len(left), 512):
+                rows = left[a : a + 512]
+                inter = (flat[rows] @ fr.T).astype(np.float64)
+                near = inter / (size[rows][:, None] + sr - inter) >= threshold
+                near &= rows[:, None] != right
+                keys.append(group["key"][rows])
+                if best:
+                    at, has = near.argmax(axis=1), near.any(axis=1)
+                    ms.append(np.where(has, group["key"][right[at]], -1))
+                    ns.append(np.where(has, group["degree"][right[at]], -1))
+                else:
+                    ms.append(np.zeros(len(rows), np.int64))
+                    ns.append(near.sum(axis=1))
+        if keys:
+            yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "m": np.concatenate(ms), "n": np.concatenate(ns).astype(np.int64)})
+
+    out = bits.exchange(placed.select("root", "key", "fp", "degree", "blocks"), send, targets, receive, dtype, "key long, m long, n long")
+    if best:
+        return out.where("n >= 0").groupBy("key").agg(F.max_by("m", F.struct("n", (-F.col("m")).alias("k"))).alias("m"), F.max("n").alias("n"))
+    return out.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def members(df: DataFrame, key: str = "doc_key", fingerprint: str = "_fingerprint_sim", threshold: float = 0.6, words: int = 8) -> DataFrame:
+    """(key, cluster_key, degree, medoid): every row with a fingerprint in its cluster, loose components split.
+
+    Medoids of a loose component are its rows by rank that no medoid before them is linked to; each other row goes to the
+    first medoid it is linked to. They are found in rounds, all rows that rank before their unassigned neighbours at once,
+    which gives the same medoids as taking one after the other. A cluster is named by its smallest key.
+    """
+    spark = df.sparkSession
+    df = df.select(F.col(key).cast("long").alias("key"), F.col(fingerprint).alias("fp")).where("key is not null and fp is not null")
+    df = df.where(F.exists("fp", lambda x: x != 0) & (F.size("fp") <= words)).groupBy("key").agg(F.first("fp").alias("fp"))
+    found = cut(labels(df, "key", "fp", threshold, words))
+    sizes = found.groupBy("root").agg(F.count("*").alias("size"))
+    placed = df.join(found.select(F.col("node").alias("key"), "root"), "key").join(sizes, "root")
+    placed = cut(placed.select("root", "key", "fp", "size", F.lit(0).cast("long").alias("degree"), F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")))
+    total = placed.count()
+    degrees = cut(_against(placed, words, threshold, total, best=False))
+    placed = cut(placed.drop("degree").join(degrees.withColumnRenamed("n", "degree"), "key"))
+    tops = placed.groupBy("root").agg(F.max("degree").alias("top"), F.max_by("key", F.struct("degree", (-F.col("key")).alias("k"))).alias("first"))
+    placed = placed.join(tops, "root")
+    tight = placed.where(F.col("top") + 1 >= LOOSE * F.col("size")).select("key", "degree", F.col("first").alias("medoid"))
+    done = [tight]
+    left = cut(placed.where(F.col("top") + 1 < LOOSE * F.col("size")).select("root", "key", "fp", "degree", "blocks"))
+    chosen: list[DataFrame] = []
+    open_ = left
+    while open_.limit(1).count():
+        best = _against(open_, words, threshold, total, best=True)
+        ahead = open_.join(best, "key", "left")
+        first = F.col("n").isNull() | (F.col("n") < F.col("degree")) | ((F.col("n") == F.col("degree")) & (F.col("m") > F.col("key")))
+        medoids = cut(ahead.where(first).select("root", "key", "fp", "degree", "blocks"))
+        chosen.append(medoids)
+        # whoever a new medoid is linked to is no candidate any more
+        rest = open_.join(medoids.select("key"), "key", "left_anti")
+        marked = rest.withColumn("degree", F.lit(0).cast("long")).unionByName(medoids.withColumn("degree", F.lit(1).cast("long")))
+        taken = _against(marked.select("root", "key", "fp", "degree", "blocks"), words, threshold, total, best=True).where("n = 1").select("key")
+        open_ = cut(rest.join(taken, "key", "left_anti"))
+    if chosen:
+        medoids = chosen[0]
+        for m in chosen[1:]:
+            medoids = medoids.unionByName(m)
+        medoids = cut(medoids)
+        rest = left.join(medoids.select("key"), "key", "left_anti")
+        marked = rest.withColumn("degree", F.lit(-1).cast("long")).unionByName(medoids)
+        goes = _against(marked.select("root", "key", "fp", "degree", "blocks"), words, threshold, total, best=True).select("key", F.col("m").alias("medoid"))
+        done += [medoids.select("key", "degree", F.col("key").alias("medoid")), rest.select("key", "degree").join(goes, "key")]
+    alone = df.join(found.select(F.col("node").alias("key")), "key", "left_anti").select("key", F.lit(0).cast("long").alias("degree"), F.col("key").alias("medoid"))
+    out = alone
+    for d in done:
+        out = out.unionByName(d)
+    out = cut(out)
+    names = out.groupBy("medoid").agg(F.min("key").alias("cluster_key"))
+    return out.join(names, "medoid").select(F.col("key").alias(key), "cluster_key", "degree", "medoid")
+
+
+def described(df: DataFrame, key: str = "doc_key", fingerprint: str = "_fingerprint_sim", threshold: float = 0.6, typical: int = 3, words: int = 8) -> DataFrame:
+    """(cluster_key, size, typical): every cluster with its size and its ``typical`` members of most neighbours."""
+    m = cut(members(df, key, fingerprint, threshold, words))
+    sizes = m.groupBy("cluster_key").agg(F.count("*").alias("size"))
+    rank = Window.partitionBy("cluster_key").orderBy(F.desc("degree"), key)
+    top = m.withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= typical)  # cut to a few before the shuffle
+    top = top.groupBy("cluster_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.col(key).alias("k")))), lambda x: x["k"]).alias("typical"))
+    return sizes.join(top, "cluster_key")

@@ -38,6 +38,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.clusters(table(spark, sf_dir, "molecules"))
 
 
+@query
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.described(table(spark, sf_dir, "molecules"))
+
+
 @query
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
