@@ -5,24 +5,454 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import fingerprint as fp
+from ..functions import predicates as p
+from ..functions import textquery
+from ..operators import aggregates, codebook, search
 from ..session import table
-from ..sources import records
+from ..sources import records, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+#: query fingerprint of the single-query examples (8 words)
+ONE = [1191202118620432384, 74454598142665224, 18015231733268548, 81372719218690, 2308695142376407040, 1125424038464, 18577353194096640, 144186261262958866]
+#: some of its bits
+FEW = [ONE[0], 0, 0, 0, ONE[4], 0, 0, 0]
+BOOKS = codebook.build()
 
-def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
 
+def _sql_list(words: list[int]) -> str:
+    return "[" + ", ".join(map(str, words)) + "]::BIGINT[]"
 
-@query
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.load(table(spark, sf_dir, "raw_records"), loaded=False)
 
+_COMMON = "list_sum(list_transform(list_zip({a}, {b}), lambda z: bit_count(z[1] & z[2])))"
+_EITHER = "list_sum(list_transform(list_zip({a}, {b}), lambda z: bit_count(z[1] | z[2])))"
 
-@query
-def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.load(table(spark, sf_dir, "raw_records")).where("reason is null").drop("reason", "properties")
+
+def _sim(a: str, b: str) -> str:
+    return f"({_COMMON.format(a=a, b=b)} / {_EITHER.format(a=a, b=b)}::DOUBLE)"
+
+
+def query(sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "molecules")
+
+
+# similarity
+
+
+@query(f"SELECT doc_key, _source, {_sim('_fingerprint_sim', _sql_list(ONE))} AS similarity FROM molecules WHERE _fingerprint_sim IS NOT NULL AND {_sim('_fingerprint_sim', _sql_list(ONE))} >= 0.25")
+def similarity_threshold(spark, d):
+    return search.similarity(molecules(spark, d), ONE, 0.25).select("doc_key", "_source", "similarity")
+
+
+@query(f"SELECT doc_key, {_sim('_fingerprint_sim', _sql_list(ONE))} AS similarity FROM molecules WHERE _fingerprint_sim IS NOT NULL ORDER BY similarity DESC, _natoms NULLS LAST, doc_key LIMIT 25")
+def similarity_topk(spark, d):
+    return search.similarity(molecules(spark, d), ONE, 0.0, 25).select("doc_key", "similarity")
+
+
+@query(
+    f"SELECT doc_key, {_sim('_fingerprint_sim', _sql_list(ONE))} AS similarity FROM molecules WHERE _fingerprint_sim IS NOT NULL AND {_sim('_fingerprint_sim', _sql_list(ONE))} >= 0.15 AND _molwt >= 200 AND _natoms > 20 AND _natoms <= 60"
+)
+def similarity_filtered(spark, d):
+    m = molecules(spark, d)
+    return search.similarity(m, ONE, 0.15, None, p.double_range(m, "_molwt", 200), p.int_range(m, "_natoms", 20, 60, lo_inc=False)).select("doc_key", "similarity")
+
+
+def _saved(spark, d) -> DataFrame:
+    return table(spark, d, "saved_queries").where("kind = 'similarity'")
+
+
+_PAIR_SIM = f"coalesce({_COMMON.format(a='m._fingerprint_sim', b='q._fingerprint_sim')} / nullif({_EITHER.format(a='m._fingerprint_sim', b='q._fingerprint_sim')}, 0)::DOUBLE, 0)"
+
+
+@query(
+    f"""SELECT q.query_id, m.doc_key, {_PAIR_SIM} AS similarity FROM molecules m, saved_queries q
+WHERE q.kind = 'similarity' AND q._fingerprint_sim IS NOT NULL AND m._fingerprint_sim IS NOT NULL AND {_PAIR_SIM} >= coalesce(q.threshold, 0.8)"""
+)
+def similarity_batch_join(spark, d):
+    """Every saved similarity query, at its own threshold, against all molecules."""
+    return search.similarity_join(molecules(spark, d), _saved(spark, d), F.coalesce("threshold", F.lit(0.8)))
+
+
+@query(f"SELECT doc_key FROM molecules WHERE _fingerprint_sim IS NOT NULL AND {_COMMON.format(a='_fingerprint_sim', b=_sql_list(FEW[:1] + [0] * 7))} = {bin(FEW[0] & (1 << 64) - 1).count('1')}")
+def fp_containment_screen(spark, d):
+    return search.containment(molecules(spark, d), FEW[:1] + [0] * 7).select("doc_key")
+
+
+def _bit_sql(b: int) -> str:
+    word, at = b // 64 + 1, b % 64
+    return f"(CASE WHEN _fingerprint_sim[{word}] & ({(1 << at) if at < 63 else -(1 << 63)})::BIGINT <> 0 THEN 1 ELSE 0 END)" if at < 63 else f"(CASE WHEN _fingerprint_sim[{word}] < 0 THEN 1 ELSE 0 END)"
+
+
+def _code_sql(book: list[int]) -> str:
+    return "(" + " + ".join(f"{1 << i} * {_bit_sql(b)}" for i, b in enumerate(book)) + ")"
+
+
+@query(f"SELECT doc_key, {_code_sql(BOOKS[0])} AS code FROM molecules WHERE _fingerprint_sim IS NOT NULL AND ({_code_sql(BOOKS[0])} & {codebook.code_of(ONE, BOOKS[0])}) = {codebook.code_of(ONE, BOOKS[0])}")
+def codebook_screen(spark, d):
+    out = codebook.screen(molecules(spark, d), BOOKS[0], ONE)
+    return out.select("doc_key", codebook.code(F.col("_fingerprint_sim"), BOOKS[0]).alias("code"))
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS book, {_code_sql(b)} AS code, count(*) AS count FROM molecules WHERE _fingerprint_sim IS NOT NULL GROUP BY 2" for i, b in enumerate(BOOKS[:8])))
+def codebook_counts(spark, d):
+    return codebook.counts(molecules(spark, d), BOOKS[:8])
+
+
+@query(f"WITH t AS (SELECT {_COMMON.format(a='_fingerprint_sim', b=_sql_list(FEW[:1] + [0] * 7))} = {bin(FEW[0] & (1 << 64) - 1).count('1')} AS ok FROM molecules) SELECT count_if(ok) AS hits, count(*) AS total, 1 - count_if(ok) / count(*)::DOUBLE AS efficiency FROM t")
+def screen_efficiency(spark, d):
+    q = FEW[:1] + [0] * 7
+    return aggregates.screen_efficiency(molecules(spark, d), fp.contains(fp.columns(F.col("_fingerprint_sim")), fp.literal(q)) & F.col("_fingerprint_sim").isNotNull())
+
+
+# filters
+
+
+@query("SELECT doc_key, _id FROM molecules WHERE _source = 'lagoon'")
+def term_filter(spark, d):
+    m = molecules(spark, d)
+    return m.where(p.term(m, "_source", "lagoon")).select("doc_key", "_id")
+
+
+_WHOLE_SQL = "CASE WHEN regexp_full_match(props['{k}'], '[+-]?[0-9]+') THEN try_cast(props['{k}'] AS {t}) END"
+_DOUBLE_SQL = "CASE WHEN regexp_full_match(props['{k}'], '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(props['{k}'] AS DOUBLE) END"
+
+
+@query(f"SELECT doc_key FROM molecules WHERE {_WHOLE_SQL.format(k='prop1', t='INT')} > 0 AND {_WHOLE_SQL.format(k='prop1', t='INT')} < 1000")
+def int_range_prop(spark, d):
+    m = molecules(spark, d)
+    return m.where(p.int_range(m, "prop1", 0, 1000, False, False)).select("doc_key")
+
+
+@query(f"SELECT doc_key FROM molecules WHERE {_WHOLE_SQL.format(k='purity', t='BIGINT')} >= 100")
+def long_range_prop(spark, d):
+    m = molecules(spark, d)
+    return m.where(p.long_range(m, "purity", 100)).select("doc_key")
+
+
+@query(f"SELECT doc_key FROM molecules WHERE {_DOUBLE_SQL.format(k='prop1')} >= 3 AND {_DOUBLE_SQL.format(k='prop1')} < 400.5")
+def double_range_open(spark, d):
+    m = molecules(spark, d)
+    return m.where(p.double_range(m, "prop1", 3, 400.5, hi_inc=False)).select("doc_key")
+
+
+@query(f"SELECT doc_key FROM molecules WHERE {_DOUBLE_SQL.format(k='logp')} IS NOT NULL")
+def property_exists_as_number(spark, d):
+    m = molecules(spark, d)
+    return m.where(p.double_range(m, "logp")).select("doc_key")
+
+
+@query("SELECT doc_key FROM molecules WHERE _source = 'ostrel' AND _natoms > 40 AND _molwt >= 300")
+def bool_and_filters(spark, d):
+    m = molecules(spark, d)
+    return m.where(p.all_of(p.term(m, "_source", "ostrel"), p.int_range(m, "_natoms", 40, None, False), p.double_range(m, "_molwt", 300))).select("doc_key")
+
+
+@query("SELECT doc_key FROM molecules WHERE _natoms BETWEEN 20 AND 42 AND _molwt BETWEEN 150.5 AND 400 AND _nbonds <> 30")
+def cli_filter(spark, d):
+    m = molecules(spark, d)
+    return m.where(p.parse_filter(m, "_natoms", "20:42") & p.parse_filter(m, "_molwt", "150.5:400") & ~p.parse_filter(m, "_nbonds", "=30")).select("doc_key")
+
+
+_FILTERED_SQL = """SELECT q.query_id, m.doc_key FROM molecules m, saved_queries q WHERE q.kind = 'filter'
+AND len(list_filter(coalesce(q.filters, []), lambda f: NOT coalesce(
+ CASE f.field WHEN '_natoms' THEN m._natoms::DOUBLE WHEN '_nbonds' THEN m._nbonds::DOUBLE WHEN '_molwt' THEN m._molwt WHEN '_popcount' THEN m._popcount::DOUBLE
+ ELSE CASE WHEN f.type = 'double' AND regexp_full_match(m.props[f.field], '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(m.props[f.field] AS DOUBLE)
+  WHEN f.type <> 'double' AND regexp_full_match(m.props[f.field], '[+-]?[0-9]+') THEN CASE WHEN f.type = 'int' THEN try_cast(m.props[f.field] AS INT)::DOUBLE ELSE try_cast(m.props[f.field] AS BIGINT)::DOUBLE END END END
+ BETWEEN coalesce(f.lo, '-infinity'::DOUBLE) AND coalesce(f.hi, 'infinity'::DOUBLE)
+ AND (f.lo IS NULL OR f.lo_inc OR CASE f.field WHEN '_natoms' THEN m._natoms::DOUBLE WHEN '_nbonds' THEN m._nbonds::DOUBLE WHEN '_molwt' THEN m._molwt WHEN '_popcount' THEN m._popcount::DOUBLE ELSE try_cast(m.props[f.field] AS DOUBLE) END <> f.lo)
+ AND (f.hi IS NULL OR f.hi_inc OR CASE f.field WHEN '_natoms' THEN m._natoms::DOUBLE WHEN '_nbonds' THEN m._nbonds::DOUBLE WHEN '_molwt' THEN m._molwt WHEN '_popcount' THEN m._popcount::DOUBLE ELSE try_cast(m.props[f.field] AS DOUBLE) END <> f.hi), false))) = 0"""
+
+
+@query(f"SELECT query_id, count(*) AS rows FROM ({_FILTERED_SQL}) GROUP BY query_id")
+def saved_filters(spark, d):
+    """How many molecules each saved filter query lets through: filters are data here, applied to all rows in one pass."""
+    q = F.broadcast(table(spark, d, "saved_queries").where("kind = 'filter'").select("query_id", "filters").limit(search.BROADCAST_ROWS))
+    m = molecules(spark, d).select("_natoms", "_nbonds", "_molwt", "_popcount", "props")
+
+    def value(f):
+        text = F.try_element_at("props", f["field"])
+        prop = F.when(f["type"] == "double", p.typed(text, "double")).when(f["type"] == "int", p.typed(text, "int").cast("double")).otherwise(p.typed(text, "long").cast("double"))
+        return (
+            F.when(f["field"] == "_natoms", F.col("_natoms").cast("double"))
+            .when(f["field"] == "_nbonds", F.col("_nbonds").cast("double"))
+            .when(f["field"] == "_molwt", F.col("_molwt"))
+            .when(f["field"] == "_popcount", F.col("_popcount").cast("double"))
+            .otherwise(prop)
+        )
+
+    def holds(f):
+        x = value(f)
+        lo = f["lo"].isNull() | (x > f["lo"]) | (f["lo_inc"] & (x == f["lo"]))
+        hi = f["hi"].isNull() | (x < f["hi"]) | (f["hi_inc"] & (x == f["hi"]))
+        return F.coalesce(x.isNotNull() & lo & hi, F.lit(False))
+
+    return m.join(q, F.coalesce(F.forall("filters", holds), F.lit(True))).groupBy("query_id").agg(F.count("*").alias("rows"))
+
+
+# aggregates
+
+
+@query("SELECT value, count FROM (SELECT _source AS value, count(*) AS count FROM molecules WHERE _source IS NOT NULL GROUP BY 1 ORDER BY count DESC, value LIMIT 20) ORDER BY value")
+def facet_source_top20(spark, d):
+    return aggregates.facet_counts(molecules(spark, d))
+
+
+@query("SELECT _source AS value, count(*) AS count FROM molecules WHERE _source IS NOT NULL GROUP BY 1")
+def source_listing(spark, d):
+    return aggregates.facet_counts(molecules(spark, d), top=None)
+
+
+def _histogram_sql(value: str, edges, source: str = "molecules", what: str | None = None) -> str:
+    parts = []
+    for i, (lo, hi) in enumerate(zip([None, *edges], [*edges, None])):
+        test = " AND ".join([f"({value}) IS NOT NULL"] + ([f"({value}) >= {lo}"] if lo is not None else []) + ([f"({value}) < {hi}"] if hi is not None else []))
+        parts.append(f"SELECT {i} AS bucket, {'NULL' if lo is None else lo}::DOUBLE AS lo, {'NULL' if hi is None else hi}::DOUBLE AS hi, count_if({test}) AS count" + (f", '{what}' AS what" if what else "") + f" FROM {source}")
+    return " UNION ALL ".join(parts)
+
+
+_POP = "CASE WHEN _fingerprint_sim IS NOT NULL THEN list_sum(list_transform(_fingerprint_sim, lambda x: bit_count(x))) END"
+
+
+@query(_histogram_sql(_POP, (0, 40, 60, 80, 100)))
+def popcount_histogram(spark, d):
+    return aggregates.histogram(molecules(spark, d), fp.popcount(F.col("_fingerprint_sim")), (0, 40, 60, 80, 100))
+
+
+@query(_histogram_sql("_natoms", (10, 30, 50)))
+def numeric_histogram_int(spark, d):
+    return aggregates.histogram(molecules(spark, d), F.col("_natoms"), (10, 30, 50))
+
+
+@query(_histogram_sql(_WHOLE_SQL.format(k="purity", t="BIGINT"), (10, 100, 500)))
+def numeric_histogram_long(spark, d):
+    m = molecules(spark, d)
+    return aggregates.histogram(m, p.numeric(m, "purity", "long"), (10, 100, 500))
+
+
+@query(_histogram_sql(_DOUBLE_SQL.format(k="logp"), (0, 2.5, 50)))
+def numeric_histogram_double(spark, d):
+    m = molecules(spark, d)
+    return aggregates.histogram(m, p.numeric(m, "logp", "double"), (0, 2.5, 50))
+
+
+@query(" UNION ALL ".join(_histogram_sql(v, e, what=w) for w, v, e in (("popcount", _POP, aggregates.POPCOUNT_EDGES), ("weight", "_molwt", aggregates.WEIGHT_EDGES), ("atoms", "_natoms", aggregates.ATOM_EDGES))))
+def stats_report(spark, d):
+    return aggregates.stats(molecules(spark, d), fp.popcount(F.col("_fingerprint_sim")), F.col("_natoms"), F.col("_molwt"))
+
+
+@query("SELECT DISTINCT unnest(map_keys(props)) AS field FROM molecules")
+def field_names(spark, d):
+    return aggregates.field_names(molecules(spark, d))
+
+
+@query("SELECT count(*) AS size FROM molecules")
+def size(spark, d):
+    return molecules(spark, d).agg(F.count("*").alias("size"))
+
+
+@query("SELECT doc_key, _id, _source FROM molecules")
+def match_all(spark, d):
+    return molecules(spark, d).select("doc_key", "_id", "_source")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2")
+def group_totals(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+# text
+
+
+_TOKENS_SQL = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '' AND len(x) <= 255)"
+
+
+def _documents(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", textquery.tokens(F.col("text"), stop=False).alias("t"))
+
+
+def _find(spark, d, q: str) -> DataFrame:
+    df = _documents(spark, d)
+    return df.where(textquery.Parser({"text": F.col("t")})(q)).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_contains({_TOKENS_SQL}, 'pipette')")
+def text_term(spark, d):
+    return _find(spark, d, "pipette")
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_contains({_TOKENS_SQL}, 'pipette') AND NOT list_contains({_TOKENS_SQL}, 'oven') OR list_contains({_TOKENS_SQL}, 'prüfbericht') AND NOT list_contains({_TOKENS_SQL}, 'oven')")
+def text_boolean(spark, d):
+    return _find(spark, d, "(pipette OR Prüfbericht) NOT oven")
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(' ' || list_aggregate({_TOKENS_SQL}, 'string_agg', ' ') || ' ', ' short answer ')")
+def text_phrase(spark, d):
+    return _find(spark, d, '"short answer"')
+
+
+@query(f"SELECT doc_id FROM documents WHERE len(list_filter({_TOKENS_SQL}, lambda x: starts_with(x, 'xan') OR regexp_full_match(x, 'st.le'))) > 0")
+def text_prefix_wildcard(spark, d):
+    return _find(spark, d, "xan* st?le")
+
+
+@query(f"SELECT doc_id FROM documents WHERE len(list_filter({_TOKENS_SQL}, lambda x: levenshtein(x, 'pipete') <= 2)) > 0")
+def text_fuzzy(spark, d):
+    return _find(spark, d, "pipete~")
+
+
+@query(f"SELECT doc_id FROM documents WHERE len(list_filter({_TOKENS_SQL}, lambda x: x >= 'gasket' AND x <= 'gaskets')) > 0")
+def text_range(spark, d):
+    return _find(spark, d, "[gasket TO gaskets]")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {_TOKENS_SQL} AS t FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: x = 'gasket')) AS a, len(list_filter(t, lambda x: x = 'pipette')) AS b FROM t WHERE len(t) > 0),
+w AS (SELECT 1 + ln(count(*) / (count_if(a > 0) + 1)::DOUBLE) AS ia, 1 + ln(count(*) / (count_if(b > 0) + 1)::DOUBLE) AS ib FROM u)
+SELECT doc_id, round((sqrt(a) * ia * ia + sqrt(b) * ib * ib) / sqrt(n) * ((a > 0)::INT + (b > 0)::INT) / 2, 9) AS score FROM u, w WHERE a + b > 0 ORDER BY score DESC, doc_id LIMIT 20"""
+)
+def text_relevance_topk(spark, d):
+    df = _documents(spark, d)
+    scores = textquery.scored(df, F.col("t"), ["gasket", "pipette"], "doc_id")
+    return scores.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query("SELECT doc_key FROM molecules WHERE _id = 'cmp277'")
+def text_keyword_id(spark, d):
+    return search.text(molecules(spark, d), "_id:cmp277").select("doc_key")
+
+
+# deletes and appends
+
+
+@query("SELECT doc_key, _source FROM molecules WHERE _source IS NULL OR _source <> 'lagoon'")
+def delete_by_source(spark, d):
+    gone = spark.createDataFrame([("lagoon", None)], "source string, id string")
+    return store.removed(molecules(spark, d), gone).select("doc_key", "_source")
+
+
+_LEFT = "SELECT m.* FROM molecules m WHERE NOT EXISTS (SELECT 1 FROM removals r WHERE (r.source IS NOT NULL OR r.id IS NOT NULL) AND (r.source IS NULL OR r.source = m._source) AND (r.id IS NULL OR r.id = m._id))"
+
+
+@query(f"SELECT doc_key, _id, _source FROM ({_LEFT})")
+def delete_by_source_and_id(spark, d):
+    return store.removed(molecules(spark, d), table(spark, d, "removals")).select("doc_key", "_id", "_source")
+
+
+@query(f"SELECT count(*) AS size FROM ({_LEFT})")
+def size_after_delete(spark, d):
+    return store.removed(molecules(spark, d), table(spark, d, "removals")).agg(F.count("*").alias("size"))
+
+
+@query("SELECT doc_key, _id FROM molecules WHERE _source = 'lagoon' UNION ALL SELECT doc_key, _id FROM molecules WHERE _source = 'ostrel'")
+def batch_append_union(spark, d):
+    m = molecules(spark, d)
+    return m.where("_source = 'lagoon'").select("doc_key", "_id").unionByName(m.where("_source = 'ostrel'").select("doc_key", "_id"))
+
+
+# results of saved queries
+
+
+@query("SELECT h.query_id, q.kind, count(*) AS hits, count(DISTINCT h.doc_key) AS molecules, max(h.similarity) AS best FROM search_hits h JOIN saved_queries q USING (query_id) GROUP BY 1, 2")
+def hits_by_query(spark, d):
+    h, q = table(spark, d, "search_hits"), table(spark, d, "saved_queries").select("query_id", "kind")
+    # counted per query and molecule first, so that a hot query is spread over tasks
+    each = h.groupBy("query_id", "doc_key").agg(F.count("*").alias("n"), F.max("similarity").alias("s"))
+    per = each.groupBy("query_id").agg(F.sum("n").alias("hits"), F.count("doc_key").alias("molecules"), F.max("s").alias("best"))
+    return per.join(q, "query_id").select("query_id", "kind", "hits", "molecules", "best")
+
+
+# structures
+
+
+@query()
+def featurize_structures(spark, d):
+    """Formula, counts, weight and fingerprints computed anew from every structure."""
+    from ..sources import structures
+
+    m = molecules(spark, d).where("_molfile is not null").select(F.col("doc_key").cast("string").alias("id"), F.col("_source").alias("source"), F.col("_molfile").alias("structure"))
+    return structures.featurize(m).select(F.col("_id").cast("long").alias("doc_key"), "_formula", "_natoms", "_nbonds", "_molwt", "_popcount", "error")
+
+
+@query()
+def substructure_search(spark, d):
+    return search.substructure(molecules(spark, d), "c1ccncc1").select("doc_key", "similarity", "hits")
+
+
+@query()
+def substructure_filtered(spark, d):
+    m = molecules(spark, d)
+    return search.substructure(m, "C(=O)N", None, p.int_range(m, "_natoms", 30), p.double_range(m, "_molwt", None, 450)).select("doc_key", "similarity", "hits")
+
+
+@query()
+def substructure_all_matches(spark, d):
+    return search.substructure(molecules(spark, d), "C*N", all_hits=True, key="doc_key").select("doc_key", F.size("hits").alias("matches"))
+
+
+@query()
+def structures_as_smiles(spark, d):
+    from ..sources import structures
+
+    return structures.as_text(molecules(spark, d).where("_molfile is not null"), "smiles").select("doc_key", F.col("text").alias("smiles"))
+
+
+_TOY = [("a", 1, "C"), ("a", 2, "O"), ("a", 3, "C"), ("b", 1, "C"), ("b", 2, "C"), ("b", 3, "O"), ("c", 1, "C"), ("c", 2, "C"), ("c", 3, "C")]
+_TOY_BONDS = [("a", 1, 2), ("a", 2, 3), ("b", 1, 2), ("b", 2, 3), ("c", 1, 2), ("c", 2, 3), ("c", 1, 3)]
+_ATOMS_SQL = "(VALUES " + ", ".join(f"('{g}', {i}, '{s}')" for g, i, s in _TOY) + ") t(g, i, s)"
+_BONDS_SQL = "(VALUES " + ", ".join(f"('{g}', {a}, {b}), ('{g}', {b}, {a})" for g, a, b in _TOY_BONDS) + ") e(g, a, b)"
+
+
+def _toy(spark) -> tuple[DataFrame, DataFrame]:
+    bonds = spark.createDataFrame(_TOY_BONDS, "g string, a int, b int")
+    return spark.createDataFrame(_TOY, "g string, i int, s string"), bonds.unionByName(bonds.select("g", F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+@query(f"WITH v AS (SELECT * FROM {_ATOMS_SQL}), e AS (SELECT * FROM {_BONDS_SQL}) SELECT DISTINCT x.g FROM e x JOIN e y ON x.g = y.g AND x.b = y.a AND x.a <> y.b JOIN v p ON p.g = x.g AND p.i = x.a JOIN v q ON q.g = x.g AND q.i = x.b JOIN v r ON r.g = x.g AND r.i = y.b WHERE p.s = 'C' AND q.s = 'O' AND r.s = 'C'")
+def motif_path3(spark, d):
+    """C-O-C as joins of the bond table with itself, the relational form of a substructure search."""
+    v, e = _toy(spark)
+    s = {n: v.select("g", F.col("i").alias(n), F.col("s").alias(f"s{n}")) for n in "abc"}
+    path = e.join(e.select("g", F.col("a").alias("b"), F.col("b").alias("c")), ["g", "b"]).where("a <> c")
+    path = path.join(s["a"], ["g", "a"]).join(s["b"], ["g", "b"]).join(s["c"], ["g", "c"])
+    return path.where("sa = 'C' and sb = 'O' and sc = 'C'").select("g").distinct()
+
+
+@query(f"WITH e AS (SELECT * FROM {_BONDS_SQL}) SELECT DISTINCT x.g FROM e x JOIN e y ON x.g = y.g AND x.b = y.a JOIN e z ON x.g = z.g AND y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.b < y.b")
+def motif_triangle(spark, d):
+    _, e = _toy(spark)
+    e = e.where("a < b")
+    one, two = e, e.select("g", F.col("a").alias("b"), F.col("b").alias("c"))
+    return one.join(two, ["g", "b"]).join(e.select("g", "a", F.col("b").alias("c")), ["g", "a", "c"]).select("g").distinct()
+
+
+@query("SELECT label, count(*) AS n, count(DISTINCT embedding) AS different FROM embeddings GROUP BY label")
+def distinct_embeddings(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.groupBy("label", "embedding").agg(F.count("*").alias("c")).groupBy("label").agg(F.sum("c").alias("n"), F.count("*").alias("different"))
+
+
+# loading
+
+
+@query()
+def p2_found(spark, d):
+    return records.load(table(spark, d, "raw_records"), loaded=False)
+
+
+@query()
+def p2_loaded(spark, d):
+    return records.load(table(spark, d, "raw_records")).where("reason is null").drop("reason", "properties")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..chem.validate import is_structure
+from ..session import spread
 
 FIELDS = ("_source", "_id", "_molfile", "_molwt", "added_on", "props")
 _ID = re.compile(r"[A-Za-z0-9._:-]{1,40}")
@@ -124,7 +125,7 @@ def load(df: DataFrame, key: str = "raw_id", line: str = "line", delim: str | Co
     schema = "key long, reason string"
     if loaded:
         schema += ", _source string, _id string, _molfile string, _molwt double, added_on date, props string, properties map<string,string>"
-    return df.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return spread(df).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def assemble(lines: DataFrame, file: str = "file_name", number: str = "line_no", text: str = "text", block: int = 100_000) -> DataFrame:
