@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     store = Store(spark, a.store, read_only=True)
     df = store.table()
     if a.what == "stats":
-        for r in aggregates.stats(df, popcount(F.col("_fingerprint_sim")), F.col("_natoms"), F.col("_molwt")).collect():
+        for r in aggregates.stats(df, F.expr(popcount("_fingerprint_sim")), F.col("_natoms"), F.col("_molwt")).collect():
             say(r["what"], "" if r["lo"] is None else f"{r['lo']:g}", "" if r["hi"] is None else f"{r['hi']:g}", r["count"])
         return 0
     if a.fields:

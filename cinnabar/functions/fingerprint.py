@@ -1,62 +1,68 @@
-"""Fingerprints as native columns: ARRAY<BIGINT> words, compared word by word inside generated code."""
+"""Fingerprints as native expressions: ARRAY<BIGINT> words, compared word by word inside generated code.
+
+The builders return SQL text, so that an expression over eight words reaches the planner in one piece; ``column`` makes a
+column of it. Higher-order functions would leave generated code, so none is used.
+"""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import add, and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORDS = 8
-_TOP_BITS = -0x7F7F7F7F7F7F7F80  # the highest bit of each byte, as a signed word
+_TOP_BITS = -0x7F7F7F7F7F7F7F80  #: the highest bit of each byte, as a signed word
 
 
-def word(fp: Column, i: int) -> Column:
-    return F.coalesce(F.get(fp, F.lit(i)), F.lit(0).cast("bigint"))
+def column(sql: str) -> Column:
+    return F.expr(sql)
 
 
-def _sum(parts: list[Column]) -> Column:
-    return reduce(add, parts)
+def word(name: str, i: int) -> str:
+    return f"coalesce(get({name}, {i}), 0L)"
 
 
-def literal(words: list[int]) -> list[Column]:
-    return [F.lit(int(w)).cast("bigint") for w in words]
+def words_of(name: str, words: int = WORDS) -> list[str]:
+    return [word(name, i) for i in range(words)]
 
 
-def popcount(fp: Column, words: int = WORDS) -> Column:
-    """Bits set; null for a null fingerprint."""
-    return F.when(fp.isNotNull(), _sum([F.bit_count(word(fp, i)) for i in range(words)]))
+def literal(words: list[int]) -> list[str]:
+    return [f"cast('{int(w)}' as bigint)" for w in words]
+
 
+def bits_of(words: list[str]) -> str:
+    return "(" + " + ".join(f"bit_count({w})" for w in words) + ")"
 
-def common(a: list[Column], b: list[Column]) -> Column:
-    return _sum([F.bit_count(x.bitwiseAND(y)) for x, y in zip(a, b)])
+
+def popcount(name: str, words: int = WORDS) -> str:
+    """Bits set; null for a null fingerprint."""
+    return f"case when {name} is not null then {bits_of(words_of(name, words))} end"
 
 
-def either(a: list[Column], b: list[Column]) -> Column:
-    return _sum([F.bit_count(x.bitwiseOR(y)) for x, y in zip(a, b)])
+def common(a: list[str], b: list[str]) -> str:
+    return bits_of([f"{x} & {y}" for x, y in zip(a, b)])
 
 
-def columns(fp: Column, words: int = WORDS) -> list[Column]:
-    return [word(fp, i) for i in range(words)]
+def either(a: list[str], b: list[str]) -> str:
+    return bits_of([f"{x} | {y}" for x, y in zip(a, b)])
 
 
-def tanimoto(a: list[Column], b: list[Column], legacy: bool = False) -> Column:
+def tanimoto(a: list[str], b: list[str], legacy: bool = False) -> str:
     """Common bits over bits of either; null where neither has any.
 
     ``legacy`` counts the highest bit of every byte 25 times, as arithmetic on sign-extended bytes does.
     """
     inter, union = common(a, b), either(a, b)
     if legacy:
-        top = F.lit(_TOP_BITS).cast("bigint")
-        inter = inter + 24 * _sum([F.bit_count(x.bitwiseAND(y).bitwiseAND(top)) for x, y in zip(a, b)])
-        union = union + 24 * _sum([F.bit_count(x.bitwiseOR(y).bitwiseAND(top)) for x, y in zip(a, b)])
-    return F.when(union > 0, inter.cast("double") / union)
+        top = f"cast('{_TOP_BITS}' as bigint)"
+        inter = f"({inter} + 24 * {bits_of([f'{x} & {y} & {top}' for x, y in zip(a, b)])})"
+        union = f"({union} + 24 * {bits_of([f'({x} | {y}) & {top}' for x, y in zip(a, b)])})"
+    return f"case when {union} > 0 then cast({inter} as double) / {union} end"
 
 
-def contains(target: list[Column], query: list[Column]) -> Column:
-    return reduce(and_, [t.bitwiseAND(q) == q for t, q in zip(target, query)])
+def contains(target: list[str], query: list[str]) -> str:
+    return "(" + " and ".join(f"({t} & {q}) = {q}" for t, q in zip(target, query)) + ")"
 
 
 def popcount_window(p: int, threshold: float) -> tuple[int, int | None]:
@@ -66,15 +72,15 @@ def popcount_window(p: int, threshold: float) -> tuple[int, int | None]:
     return math.ceil(p * threshold - 1e-9), math.floor(p / threshold + 1e-9)
 
 
-def in_window(popcnt: Column, p: int, threshold: float) -> Column:
+def in_window(popcnt: str, p: int, threshold: float) -> str:
     lo, hi = popcount_window(p, threshold)
-    return popcnt >= lo if hi is None else popcnt.between(lo, hi)
+    return f"{popcnt} >= {lo}" if hi is None else f"{popcnt} between {lo} and {hi}"
 
 
-def bit(fp: Column, i: int) -> Column:
+def bit(name: str, i: int) -> str:
     """Bit ``i``, lowest first."""
-    return F.bit_get(word(fp, i // 64), F.lit(i % 64))
+    return f"bit_get({word(name, i // 64)}, {i % 64})"
 
 
-def to_hex(fp: Column, words: int = WORDS) -> Column:
-    return F.concat(*[F.lpad(F.hex(word(fp, i)), 16, "0") for i in range(words)])
+def to_hex(name: str, words: int = WORDS) -> str:
+    return "concat(" + ", ".join(f"lpad(hex({w}), 16, '0')" for w in words_of(name, words)) + ")"

@@ -9,6 +9,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: words that are not indexed (fixed value)
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 LONGEST = 255
@@ -171,9 +173,10 @@ def scored(df: DataFrame, array: Column, words: list[str], key: str) -> DataFram
     """
     words = sorted({w.lower() for w in words})
     own = df.select(F.col(key), array.alias("t")).where(F.size("t") > 0)
-    tf = {w: F.size(F.filter("t", _is(w))) for w in words}
-    seen = own.agg(F.count("*").alias("n"), *[F.sum((tf[w] > 0).cast("int")).alias(f"d{i}") for i, w in enumerate(words)]).first()
-    idf = [1 + log(max(seen["n"], 1) / ((seen[f"d{i}"] or 0) + 1)) for i in range(len(words))]
-    part = sum((F.sqrt(tf[w].cast("double")) * idf[i] ** 2 for i, w in enumerate(words)), F.lit(0.0))
-    hit = sum(((tf[w] > 0).cast("int") for w in words), F.lit(0))
-    return own.where(hit > 0).select(key, (part / F.sqrt(F.size("t").cast("double")) * hit / len(words)).alias("score"))
+    # one tokenization: a narrow table of counts serves both the statistics and the scores
+    own = cut(own.select(key, F.size("t").alias("n"), *[F.size(F.filter("t", _is(w))).alias(f"w{i}") for i, w in enumerate(words)]))
+    seen = own.agg(F.count("*").alias("n"), *[F.expr(f"count_if(w{i} > 0)").alias(f"d{i}") for i in range(len(words))]).first()
+    idf = [1 + log(max(seen["n"], 1) / (seen[f"d{i}"] + 1)) for i in range(len(words))]
+    part = " + ".join(f"sqrt(w{i}) * cast('{idf[i] ** 2!r}' as double)" for i in range(len(words))) or "0D"
+    hit = " + ".join(f"cast(w{i} > 0 as int)" for i in range(len(words))) or "0"
+    return own.where(f"({hit}) > 0").select(key, F.expr(f"({part}) / sqrt(n) * ({hit}) / {max(len(words), 1)}").alias("score"))

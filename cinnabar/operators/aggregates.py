@@ -18,26 +18,26 @@ def facet_counts(df: DataFrame, column: str = "_source", top: int | None = 20) -
     return out.orderBy("value")
 
 
-def histogram(df: DataFrame, value: Column, edges) -> DataFrame:
-    """(bucket, lo, hi, count): below the first edge, between neighbours (the lower one included), from the last one on.
+def histograms(df: DataFrame, wanted: list[tuple[str, Column, tuple]]) -> DataFrame:
+    """(what, bucket, lo, hi, count) of several values: below the first edge, between neighbours (the lower one included), from the last one on.
 
-    One row per bucket, empty ones too; nulls are in none. One pass, combined on the map side.
+    One row per bucket, empty ones too; nulls are in none. One pass for all, combined on the map side.
     """
-    if not edges:
-        raise ValueError("edges are needed")
-    edges = list(edges)
-    lows, highs = [None, *edges], [*edges, None]
-    sums = []
-    for i, (lo, hi) in enumerate(zip(lows, highs)):
-        inside = value.isNotNull()
-        if lo is not None:
-            inside = inside & (value >= lo)
-        if hi is not None:
-            inside = inside & (value < hi)
-        sums.append(F.count_if(inside).alias(f"b{i}"))
-    one = df.agg(*sums)
-    rows = F.array(*[F.struct(F.lit(i).alias("bucket"), F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"), F.col(f"b{i}").alias("count")) for i, (lo, hi) in enumerate(zip(lows, highs))])
-    return one.select(F.inline(rows))
+    sums, rows = [], []
+    for n, (what, _, edges) in enumerate(wanted):
+        if not edges:
+            raise ValueError("edges are needed")
+        for i, (lo, hi) in enumerate(zip([None, *edges], [*edges, None])):
+            test = " and ".join([f"x{n} is not null", *([f"x{n} >= {lo}"] if lo is not None else []), *([f"x{n} < {hi}"] if hi is not None else [])])
+            sums.append(F.expr(f"count_if({test})").alias(f"c{n}_{i}"))
+            ends = ["cast(null as double)" if e is None else f"cast('{e}' as double)" for e in (lo, hi)]
+            rows.append(f"named_struct('what', '{what}', 'bucket', {i}, 'lo', {ends[0]}, 'hi', {ends[1]}, 'count', c{n}_{i})")
+    return df.select(*[x.alias(f"x{n}") for n, (_, x, _) in enumerate(wanted)]).agg(*sums).select(F.expr(f"inline(array({', '.join(rows)}))"))
+
+
+def histogram(df: DataFrame, value: Column, edges) -> DataFrame:
+    """(bucket, lo, hi, count) of one value."""
+    return histograms(df, [("", value, tuple(edges))]).drop("what")
 
 
 def field_names(df: DataFrame, props: str = "props") -> DataFrame:
@@ -46,8 +46,7 @@ def field_names(df: DataFrame, props: str = "props") -> DataFrame:
 
 
 def stats(df: DataFrame, popcount: Column, atoms: Column, weight: Column) -> DataFrame:
-    parts = [histogram(df, x, e).withColumn("what", F.lit(w)) for w, x, e in (("popcount", popcount, POPCOUNT_EDGES), ("weight", weight, WEIGHT_EDGES), ("atoms", atoms, ATOM_EDGES))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return histograms(df, [("popcount", popcount, POPCOUNT_EDGES), ("weight", weight, WEIGHT_EDGES), ("atoms", atoms, ATOM_EDGES)])
 
 
 def screen_efficiency(total: DataFrame, passed: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint as fp
@@ -18,12 +18,9 @@ def build(books: int = BOOKS, width: int = WIDTH, bits: int = 512, seed: int = 1
     return [sorted(rng.sample(range(bits), width)) for _ in range(books)]
 
 
-def code(fingerprint: Column, book: list[int]) -> Column:
-    """Bit i of the code is the fingerprint's bit book[i]."""
-    out = F.lit(0)
-    for i, b in enumerate(book):
-        out = out + fp.bit(fingerprint, b).cast("int") * (1 << i)
-    return F.when(fingerprint.isNotNull(), out)
+def code(fingerprint: str, book: list[int]) -> str:
+    """Bit i of the code is the fingerprint's bit book[i]; null for a null fingerprint."""
+    return f"case when {fingerprint} is not null then " + " + ".join(f"{1 << i} * {fp.bit(fingerprint, b)}" for i, b in enumerate(book)) + " end"
 
 
 def code_of(query: list[int], book: list[int]) -> int:
@@ -32,8 +29,8 @@ def code_of(query: list[int], book: list[int]) -> int:
 
 def counts(df: DataFrame, books: list[list[int]], fingerprint: str = "_fingerprint_sim") -> DataFrame:
     """(book, code, count) of all codebooks in one pass."""
-    codes = F.array(*[F.struct(F.lit(i).alias("book"), code(F.col(fingerprint), b).alias("code")) for i, b in enumerate(books)])
-    return df.where(F.col(fingerprint).isNotNull()).select(F.inline(codes)).groupBy("book", "code").agg(F.count("*").alias("count"))
+    codes = ", ".join(f"named_struct('book', {i}, 'code', {code(fingerprint, b)})" for i, b in enumerate(books))
+    return df.where(F.col(fingerprint).isNotNull()).select(F.expr(f"inline(array({codes}))")).groupBy("book", "code").agg(F.count("*").alias("count"))
 
 
 def best(table: DataFrame, books: list[list[int]], query: list[int]) -> int | None:
@@ -50,4 +47,4 @@ def best(table: DataFrame, books: list[list[int]], query: list[int]) -> int | No
 def screen(df: DataFrame, book: list[int], query: list[int], fingerprint: str = "_fingerprint_sim") -> DataFrame:
     """Rows whose code contains the query's."""
     want = code_of(query, book)
-    return df.where(code(F.col(fingerprint), book).bitwiseAND(F.lit(want)) == want)
+    return df.where(f"(({code(fingerprint, book)}) & {want}) = {want}")

@@ -24,12 +24,10 @@ def similarity(df: DataFrame, query: list[int], threshold: float, most: int | No
     a bit is similar to nothing, and at threshold 0 everything with a fingerprint is a hit.
     """
     words = len(query)
-    mine = fp.literal(query)
+    own, mine = fp.words_of(fingerprint, words), fp.literal(query)
     bits = sum(int(w & (1 << 64) - 1).bit_count() for w in query)
-    own = fp.columns(F.col(fingerprint), words)
     df = df.where(all_of(F.col(fingerprint).isNotNull(), *filters))
-    window = F.col(popcnt) if popcnt else sum((F.bit_count(w) for w in own[1:]), F.bit_count(own[0]))
-    out = df.where(fp.in_window(window, bits, threshold)).withColumn("similarity", F.coalesce(fp.tanimoto(own, mine, legacy), F.lit(0.0)))
+    out = df.where(fp.in_window(popcnt or fp.bits_of(own), bits, threshold)).withColumn("similarity", fp.column(f"coalesce({fp.tanimoto(own, mine, legacy)}, 0D)"))
     out = out.where(F.col("similarity") >= threshold)
     order = [F.desc("similarity"), *([F.asc_nulls_last("_natoms")] if "_natoms" in df.columns else []), F.asc(key)]
     out = out.orderBy(*order)
@@ -43,23 +41,23 @@ def similarity_join(df: DataFrame, queries: DataFrame, threshold: Column | float
     number its threshold lets through.
     """
     q = queries.where(F.col(fingerprint).isNotNull()).withColumn("__t", F.lit(threshold) if isinstance(threshold, (int, float)) else threshold)
-    q = q.select(query_key, "__t", *[fp.word(F.col(fingerprint), i).alias(f"q{i}") for i in range(words)])
-    q = q.withColumn("qp", sum((F.bit_count(f"q{i}") for i in range(1, words)), F.bit_count("q0")))
-    q = q.withColumn("lo", F.ceil(F.col("qp") * F.col("__t") - 1e-9)).withColumn("hi", F.when(F.col("__t") > 0, F.floor(F.col("qp") / F.col("__t") + 1e-9)).otherwise(64 * words))
-    t = df.where(F.col(fingerprint).isNotNull()).select(key, *[fp.word(F.col(fingerprint), i).alias(f"t{i}") for i in range(words)])
-    t = t.withColumn("tp", sum((F.bit_count(f"t{i}") for i in range(1, words)), F.bit_count("t0")))
+    q = q.select(query_key, "__t", *[fp.column(w).alias(f"q{i}") for i, w in enumerate(fp.words_of(fingerprint, words))])
+    q = q.withColumn("qp", fp.column(fp.bits_of([f"q{i}" for i in range(words)])))
+    q = q.withColumn("lo", fp.column("ceil(qp * __t - 1e-9D)")).withColumn("hi", fp.column(f"case when __t > 0 then floor(qp / __t + 1e-9D) else {64 * words} end"))
+    t = df.where(F.col(fingerprint).isNotNull()).select(key, *[fp.column(w).alias(f"t{i}") for i, w in enumerate(fp.words_of(fingerprint, words))])
+    t = t.withColumn("tp", fp.column(fp.bits_of([f"t{i}" for i in range(words)])))
     if q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         both = t.join(F.broadcast(q), F.col("tp").between(F.col("lo"), F.col("hi")))
     else:
         q = q.withColumn("tp", F.explode(F.sequence(F.greatest("lo", F.lit(0)).cast("int"), F.least("hi", F.lit(64 * words)).cast("int"))))
         both = t.withColumn("tp", F.col("tp").cast("int")).join(q, "tp")
-    a, b = [F.col(f"t{i}") for i in range(words)], [F.col(f"q{i}") for i in range(words)]
-    return both.withColumn("similarity", F.coalesce(fp.tanimoto(a, b), F.lit(0.0))).where(F.col("similarity") >= F.col("__t")).select(query_key, key, "similarity")
+    similarity = fp.tanimoto([f"t{i}" for i in range(words)], [f"q{i}" for i in range(words)])
+    return both.withColumn("similarity", fp.column(f"coalesce({similarity}, 0D)")).where("similarity >= __t").select(query_key, key, "similarity")
 
 
 def containment(df: DataFrame, query: list[int], fingerprint: str = "_fingerprint_sim") -> DataFrame:
     """Rows whose fingerprint has all bits of the query: a screen that loses nothing."""
-    return df.where(F.col(fingerprint).isNotNull() & fp.contains(fp.columns(F.col(fingerprint), len(query)), fp.literal(query)))
+    return df.where(F.col(fingerprint).isNotNull() & fp.column(fp.contains(fp.words_of(fingerprint, len(query)), fp.literal(query))))
 
 
 def substructure(df: DataFrame, query: str, most: int | None = None, *filters: Column, key: str = "doc_key", structure: str = "_molfile", screen: str | None = None, mode: str = "sub", all_hits: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import fingerprint as fp
 from ..functions import predicates as p
 from ..functions import textquery
 from ..operators import aggregates, codebook, search
-from ..session import table
+from ..session import spread, table
 from ..sources import records, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,7 +104,7 @@ def _code_sql(book: list[int]) -> str:
 @query(f"SELECT doc_key, {_code_sql(BOOKS[0])} AS code FROM molecules WHERE _fingerprint_sim IS NOT NULL AND ({_code_sql(BOOKS[0])} & {codebook.code_of(ONE, BOOKS[0])}) = {codebook.code_of(ONE, BOOKS[0])}")
 def codebook_screen(spark, d):
     out = codebook.screen(molecules(spark, d), BOOKS[0], ONE)
-    return out.select("doc_key", codebook.code(F.col("_fingerprint_sim"), BOOKS[0]).alias("code"))
+    return out.select("doc_key", F.expr(codebook.code("_fingerprint_sim", BOOKS[0])).alias("code"))
 
 
 @query(" UNION ALL ".join(f"SELECT {i} AS book, {_code_sql(b)} AS code, count(*) AS count FROM molecules WHERE _fingerprint_sim IS NOT NULL GROUP BY 2" for i, b in enumerate(BOOKS[:8])))
@@ -115,7 +115,7 @@ def codebook_counts(spark, d):
 @query(f"WITH t AS (SELECT {_COMMON.format(a='_fingerprint_sim', b=_sql_list(FEW[:1] + [0] * 7))} = {bin(FEW[0] & (1 << 64) - 1).count('1')} AS ok FROM molecules) SELECT count_if(ok) AS hits, count(*) AS total, 1 - count_if(ok) / count(*)::DOUBLE AS efficiency FROM t")
 def screen_efficiency(spark, d):
     q = FEW[:1] + [0] * 7
-    return aggregates.screen_efficiency(molecules(spark, d), fp.contains(fp.columns(F.col("_fingerprint_sim")), fp.literal(q)) & F.col("_fingerprint_sim").isNotNull())
+    return aggregates.screen_efficiency(molecules(spark, d), fp.column(fp.contains(fp.words_of("_fingerprint_sim"), fp.literal(q))) & F.col("_fingerprint_sim").isNotNull())
 
 
 # filters
@@ -229,7 +229,7 @@ _POP = "CASE WHEN _fingerprint_sim IS NOT NULL THEN list_sum(list_transform(_fin
 
 @query(_histogram_sql(_POP, (0, 40, 60, 80, 100)))
 def popcount_histogram(spark, d):
-    return aggregates.histogram(molecules(spark, d), fp.popcount(F.col("_fingerprint_sim")), (0, 40, 60, 80, 100))
+    return aggregates.histogram(molecules(spark, d), fp.column(fp.popcount("_fingerprint_sim")), (0, 40, 60, 80, 100))
 
 
 @query(_histogram_sql("_natoms", (10, 30, 50)))
@@ -251,7 +251,7 @@ def numeric_histogram_double(spark, d):
 
 @query(" UNION ALL ".join(_histogram_sql(v, e, what=w) for w, v, e in (("popcount", _POP, aggregates.POPCOUNT_EDGES), ("weight", "_molwt", aggregates.WEIGHT_EDGES), ("atoms", "_natoms", aggregates.ATOM_EDGES))))
 def stats_report(spark, d):
-    return aggregates.stats(molecules(spark, d), fp.popcount(F.col("_fingerprint_sim")), F.col("_natoms"), F.col("_molwt"))
+    return aggregates.stats(molecules(spark, d), fp.column(fp.popcount("_fingerprint_sim")), F.col("_natoms"), F.col("_molwt"))
 
 
 @query("SELECT DISTINCT unnest(map_keys(props)) AS field FROM molecules")
@@ -281,7 +281,7 @@ _TOKENS_SQL = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'),
 
 
 def _documents(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", textquery.tokens(F.col("text"), stop=False).alias("t"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", textquery.tokens(F.col("text"), stop=False).alias("t"))
 
 
 def _find(spark, d, q: str) -> DataFrame:

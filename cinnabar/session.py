@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package, wherever the driver was started: by path on this machine, as a file elsewhere."""
+    sc = spark.sparkContext
+    root = str(Path(__file__).resolve().parent.parent)
+    have = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in have:
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join([root, *have])
+    if not sc.master.startswith("local"):
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="cinnabar-"), "cinnabar"), "zip", root, "cinnabar")
+        sc.addPyFile(made)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
