@@ -48,16 +48,23 @@ def either(a: list[str], b: list[str]) -> str:
     return bits_of([f"{x} | {y}" for x, y in zip(a, b)])
 
 
-def tanimoto(a: list[str], b: list[str], legacy: bool = False) -> str:
-    """Common bits over bits of either; null where neither has any.
+def tanimoto(a: list[str], b: list[str], pa: str | None = None, pb: str | None = None) -> str:
+    """Common bits over bits of either; null where neither has any. ``pa`` and ``pb``: numbers of bits that are known.
 
-    ``legacy`` counts the highest bit of every byte 25 times, as arithmetic on sign-extended bytes does.
+    The bits of either are counted as those of both less the common ones: half the operations, which keeps the generated
+    method small enough to be compiled to machine code.
     """
-    inter, union = common(a, b), either(a, b)
-    if legacy:
-        top = f"cast('{_TOP_BITS}' as bigint)"
-        inter = f"({inter} + 24 * {bits_of([f'{x} & {y} & {top}' for x, y in zip(a, b)])})"
-        union = f"({union} + 24 * {bits_of([f'({x} | {y}) & {top}' for x, y in zip(a, b)])})"
+    inter = common(a, b)
+    pa, pb = pa or bits_of(a), pb or bits_of(b)
+    ratio = f"cast({inter} as double) / ({pa} + {pb} - {inter})"
+    return ratio if pb.isdigit() and int(pb) else f"case when {pa} + {pb} > 0 then {ratio} end"
+
+
+def tanimoto_legacy(a: list[str], b: list[str]) -> str:
+    """As arithmetic on sign-extended bytes has it: the highest bit of every byte counts 25 times."""
+    top = f"cast('{_TOP_BITS}' as bigint)"
+    inter = f"({common(a, b)} + 24 * {bits_of([f'{x} & {y} & {top}' for x, y in zip(a, b)])})"
+    union = f"({either(a, b)} + 24 * {bits_of([f'({x} | {y}) & {top}' for x, y in zip(a, b)])})"
     return f"case when {union} > 0 then cast({inter} as double) / {union} end"
 
 

@@ -27,7 +27,10 @@ def similarity(df: DataFrame, query: list[int], threshold: float, most: int | No
     own, mine = fp.words_of(fingerprint, words), fp.literal(query)
     bits = sum(int(w & (1 << 64) - 1).bit_count() for w in query)
     df = df.where(all_of(F.col(fingerprint).isNotNull(), *filters))
-    out = df.where(fp.in_window(popcnt or fp.bits_of(own), bits, threshold)).withColumn("similarity", fp.column(f"coalesce({fp.tanimoto(own, mine, legacy)}, 0D)"))
+    if popcnt:
+        df = df.where(fp.in_window(popcnt, bits, threshold))
+    similar = fp.tanimoto_legacy(own, mine) if legacy else fp.tanimoto(own, mine, popcnt, str(bits)) if bits else "0D"
+    out = df.withColumn("similarity", fp.column(f"coalesce({similar}, 0D)" if legacy else similar))
     out = out.where(F.col("similarity") >= threshold)
     order = [F.desc("similarity"), *([F.asc_nulls_last("_natoms")] if "_natoms" in df.columns else []), F.asc(key)]
     out = out.orderBy(*order)
@@ -51,7 +54,7 @@ def similarity_join(df: DataFrame, queries: DataFrame, threshold: Column | float
     else:
         q = q.withColumn("tp", F.explode(F.sequence(F.greatest("lo", F.lit(0)).cast("int"), F.least("hi", F.lit(64 * words)).cast("int"))))
         both = t.withColumn("tp", F.col("tp").cast("int")).join(q, "tp")
-    similarity = fp.tanimoto([f"t{i}" for i in range(words)], [f"q{i}" for i in range(words)])
+    similarity = fp.tanimoto([f"t{i}" for i in range(words)], [f"q{i}" for i in range(words)], "tp", "qp")
     return both.withColumn("similarity", fp.column(f"coalesce({similarity}, 0D)")).where("similarity >= __t").select(query_key, key, "similarity")
 
 
