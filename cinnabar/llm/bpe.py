@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 LONG = 200
 KEEP = 400_000  #: words whose ids a worker remembers; then it starts again
 #: the published pattern of this vocabulary (fixed value)
@@ -137,4 +139,4 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
                 yield pa.RecordBatch.from_arrays([part.column(0), column], names=[key, "ids"])
 
     result = T.StructField("tokens", T.IntegerType()) if lengths else T.StructField("ids", T.ArrayType(T.IntegerType()))
-    return df.mapInArrow(run, T.StructType([T.StructField(key, kind), result]))
+    return spread(df).mapInArrow(run, T.StructType([T.StructField(key, kind), result]))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
 #: encodings that text is taken for, and those it may have been written in
 READ = "cp1252 latin-1 iso8859-15 iso8859-2 cp1250 cp1251 koi8-r cp866 mac-roman cp437 cp850 cp1254 cp1253 iso8859-5 mac-cyrillic".split()
@@ -384,7 +384,7 @@ def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def judged(df: DataFrame, text: str = "text") -> DataFrame:
     """(line, restored): the distinct affected lines of all texts, without marks of quotation, and what they were."""
     spark = df.sparkSession
-    texts = df.select(F.col(text).cast("string").alias("text")).where(F.col("text").rlike(NOT_ASCII))
+    texts = spread(df.select(F.col(text).cast("string").alias("text"))).where(F.col("text").rlike(NOT_ASCII))
     lines = texts.select(F.explode(F.array_distinct(F.split("text", BREAK))).alias("line")).where(F.col("line").rlike(NOT_ASCII)).select(_line(F.col("line")).alias("line"))
     lines = cut(lines.groupBy("line").agg(F.count("*").alias("n")))
     whole = texts.groupBy("text").agg(F.count("*").alias("n"))
