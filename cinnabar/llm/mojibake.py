@@ -60,6 +60,7 @@ def _table(codec: str) -> list[str]:
 
 _DECODE = {c: _table(c) for c in READ}
 _ENCODE = {c: {ch: b for b, ch in reversed(list(enumerate(t)))} for c, t in _DECODE.items()}
+_READABLE = frozenset(c for t in _DECODE.values() for c in t if c > "\x7f")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
@@ -170,12 +171,19 @@ def _lossy(written: str, read: str) -> dict[str, list[str]]:
     return out
 
 
+def _plain(c: str) -> str:
+    """Digits of ASCII count as alike, and letters in either case."""
+    return "0" if "0" <= c <= "9" else c.lower() if c < "\x80" else c
+
+
+def _runs(line: str) -> list[tuple[int, str, str, str]]:
+    """(place, run, the character before it, the one after it) of the non-ASCII runs; nothing at the line's ends."""
+    return [(m.start(), m.group(), line[m.start() - 1 : m.start()] if m.start() else "", line[m.end() : m.end() + 1]) for m in _RUN.finditer(line)]
+
+
 def _pair(p: str, q: str) -> int:
-    """Place of a pair of characters in the table; letters and digits of ASCII count as alike in case and value."""
-    if p < "\x80":
-        p = "0" if "0" <= p <= "9" else p.lower()
-    if q < "\x80":
-        q = "0" if "0" <= q <= "9" else q.lower()
+    """Place of a pair of characters in the table."""
+    p, q = _plain(p), _plain(q)
     h = (ord(p) * 0x9E3779B1 ^ ord(q) * 0x85EBCA6B) & 0xFFFFFFFF
     return (h ^ h >> 15) & TABLE - 1
 
@@ -219,6 +227,8 @@ class Judge:
         self.others = [(w, r) for w in WRITTEN for r in READ if w != r and (w, r) not in set(chains)]
         self.lossy = [(c, table) for c in chains if c[0] == "utf-8" and (table := _lossy(*c))]
         self.known: dict[tuple[str, str], int] = {}
+        self.hopes: dict[tuple, frozenset[tuple[str, str]]] = {}
+        self.rests: dict[tuple, list[tuple[int, int, str]]] = {}
 
     def support(self, text: str, s: int, e: int) -> int:
         """The least count of the pairs at text[s:e], with the characters beside it; of many pairs the lower quartile."""
@@ -284,47 +294,92 @@ class Judge:
             return gain, new
         return gain, new if len(good) == len(spots) else replaced(good)
 
+    def hopeful(self, before: str, run: str, after: str, chains: list[tuple[str, str]], times: float) -> frozenset[tuple[str, str]]:
+        """The transformations that make a run likelier between its two neighbours. Runs recur, so this is kept."""
+        key = (_plain(before), run, _plain(after), times)
+        got = self.hopes.get(key)
+        if got is None:
+            found = set()
+            if any(c in _READABLE for c in run):
+                text = before + run + after
+                for w, r in chains:
+                    spots = [(s + len(before), e + len(before), d) for s, e, d in _run_spots(run, w, r)]
+                    if not spots:
+                        continue
+                    if w in MULTI:
+                        known: dict[tuple[int, int], int] = {}
+                        if self.better(text, spots, False, times, known) or w == "utf-8" and self.better(text, self.inner(spots, w, r), False, times, known):
+                            found.add((w, r))
+                    elif any(self.single(text, s, e, d, times) for s, e, d in spots):
+                        found.add((w, r))
+            got = frozenset(found)
+            if len(self.hopes) < 1_000_000:
+                self.hopes[key] = got
+        return got
+
+    def single(self, text: str, s: int, e: int, d: str, times: float) -> bool:
+        after = self.support(text[:s] + d + text[e:], s, s + len(d))
+        return SEEN <= after < NEVER and after >= times * self.support(text, s, e)
+
+    @staticmethod
+    def inner(spots: list[tuple[int, int, str]], w: str, r: str) -> list[tuple[int, int, str]]:
+        """The stretches that were garbled twice, by way of something too rare to be believed."""
+        out = []
+        for s, e, d in spots:
+            again = _run_spots(d, w, r)
+            if len(again) == 1 and again[0][:2] == (0, len(d)):
+                out.append((s, e, again[0][2]))
+        return out
+
     def once(self, line: str, chains: list[tuple[str, str]], times: float = TIMES) -> tuple[float, str] | None:
-        runs = [(m.start(), m.group()) for m in _RUN.finditer(line)]
+        runs = _runs(line)
+        hopes: set[tuple[str, str]] = set()
+        for at, run, before, after in runs:
+            hopes |= self.hopeful(before, run, after, chains, times)
+        if not hopes:
+            return None
         best, known = None, {}
         for w, r in chains:
-            spots = [(at + s, at + e, d) for at, run in runs for s, e, d in _run_spots(run, w, r)]
-            if not spots:
+            if (w, r) not in hopes:
                 continue
-            if w not in MULTI and 5 * sum(any(c not in _ENCODE[r] for c in run) for _, run in runs) > len(runs):
+            spots = [(at + s, at + e, d) for at, run, _, _ in runs for s, e, d in _run_spots(run, w, r)]
+            if w not in MULTI and 5 * sum(any(c not in _ENCODE[r] for c in run) for _, run, _, _ in runs) > len(runs):
                 continue
             got = self.better(line, spots, w not in MULTI, times, known)
             if got is None and w == "utf-8":
-                # garbled twice, by way of something too rare to be believed
-                inner = []
-                for s, e, d in spots:
-                    again = _run_spots(d, w, r)
-                    if len(again) == 1 and again[0][:2] == (0, len(d)):
-                        inner.append((s, e, again[0][2]))
-                got = self.better(line, inner, False, times, known)
+                got = self.better(line, self.inner(spots, w, r), False, times, known)
             if got and (best is None or got[0] > best[0] + 1e-9):
                 best = got
         return best
 
+    def left_over(self, before: str, run: str, after: str) -> list[tuple[int, int, str]]:
+        """(table, weight, character) for a run that may be what garbling and a lost control character left."""
+        key = (_plain(before), run, _plain(after))
+        got = self.rests.get(key)
+        if got is None:
+            got = []
+            text = before + run + after
+            s, e = len(before), len(before) + len(run)
+            for n, (_, table) in enumerate(self.lossy):
+                for d in table.get(run, ()):
+                    if self.single(text, s, e, d, TIMES):
+                        got.append((n, self.support(before + d + after, s, s + len(d)), d))
+            if len(self.rests) < 1_000_000:
+                self.rests[key] = got
+        return got
+
     def dropped(self, line: str) -> str | None:
         """The line with the likeliest characters for what garbling and a lost control character left, or None."""
-        best = None
-        for _, table in self.lossy:
-            spots = []
-            for m in _RUN.finditer(line):
-                for d in table.get(m.group(), ()):
-                    new = line[: m.start()] + d + line[m.end() :]
-                    before, after = self.support(line, m.start(), m.end()), self.support(new, m.start(), m.start() + len(d))
-                    if SEEN <= after < NEVER and after >= TIMES * before:
-                        spots.append((after, m.start(), m.end(), d))
-            if spots and (best is None or len(spots) > len(best)):
-                best = spots
-        if not best:
+        found: dict[int, dict[int, tuple[int, int, str]]] = {}
+        for at, run, before, after in _runs(line):
+            for n, weight, d in self.left_over(before, run, after):
+                own = found.setdefault(n, {})
+                own[at] = max(own.get(at, (0, 0, "")), (weight, at + len(run), d))
+        if not found:
             return None
-        chosen: dict[int, tuple[int, int, int, str]] = {}
-        for x in sorted(best):
-            chosen[x[1]] = x
-        for _, s, e, d in sorted(chosen.values(), key=lambda x: -x[1]):
+        best = max(found.items(), key=lambda x: (len(x[1]), -x[0]))[1]
+        for s in sorted(best, reverse=True):
+            _, e, d = best[s]
             line = line[:s] + d + line[e:]
         return line
 
@@ -333,9 +388,6 @@ class Judge:
         affected = LOST in line
         if line.isascii():
             return False, line
-        before = [self.support(line, m.start(), m.end()) for m in _RUN.finditer(line)]
-        if min(before) * TIMES > self.most:
-            return affected, line
         for _ in range(DEPTH):
             got = self.once(line, self.chains)
             if got is None:
@@ -344,11 +396,14 @@ class Judge:
         got = self.dropped(line)
         if got is not None:
             affected, line = True, got
-        if not affected and sum(len(m.group()) for m in _RUN.finditer(line)) >= 4 and 2 * sum(n < max(TIMES * SEEN, self.most / 1000) for n in before) > len(before):
-            # a line unlike any other: what no twin showed, on stronger evidence
-            got = self.once(line, self.others, 2 * TIMES)
-            if got is not None and got[0] >= 8:
-                affected, line = True, got[1]
+        runs = _runs(line)
+        if not affected and sum(len(run) for _, run, _, _ in runs) >= 4:
+            rare = [self.support(line, at, at + len(run)) < max(TIMES * SEEN, self.most / 1000) for at, run, _, _ in runs]
+            if 2 * sum(rare) > len(rare):
+                # a line unlike any other: what no twin showed, on stronger evidence
+                got = self.once(line, self.others, 2 * TIMES)
+                if got is not None and got[0] >= 8:
+                    affected, line = True, got[1]
         return affected, line
 
 
