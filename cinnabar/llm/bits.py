@@ -132,3 +132,36 @@ def exchange(
             yield from receive(p, np.concatenate(held.pop(p)))
 
     return df.mapInArrow(send, BLOCK_SCHEMA).repartitionById(targets, F.col("pid")).mapInArrow(reduce, schema)
+
+
+def blocks_of(counts: list[tuple[int, int]], targets: int, rows: int) -> tuple[dict[int, tuple[int, int]], int, dict[int, tuple[int, int, int]]]:
+    """Splits over-full targets into pairs of blocks of ``rows`` rows.
+
+    Returns what becomes of each over-full target (its first new target, blocks), the number of targets now, and for each
+    new target the one it belongs to and its two blocks.
+    """
+    hot: dict[int, tuple[int, int]] = {}
+    for pid, n in sorted(counts):
+        b = -(-n // rows)
+        hot[pid] = (targets, b)
+        targets += b * b
+    origin = {base + i * b + j: (pid, i, j) for pid, (base, b) in hot.items() for i in range(b) for j in range(i, b)}
+    return hot, targets, origin
+
+
+def block_of(keys: np.ndarray, b: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) % np.uint64(b)).astype(np.int64)
+
+
+def in_blocks(pid: int, part: np.ndarray, hot: dict[int, tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """The records of a target, or of the pairs of blocks it was split into; each record goes to as many as there are blocks."""
+    if pid not in hot:
+        yield pid, part
+        return
+    base, b = hot[pid]
+    block = block_of(np.ascontiguousarray(part["key"]), b)
+    for i in range(b):
+        for j in range(i, b):
+            some = part[(block == i) | (block == j)]
+            if len(some):
+                yield base + i * b + j, some

@@ -170,28 +170,17 @@ def links(df: DataFrame, key: str, fingerprint: str, threshold: float, words: in
                     yield pa.RecordBatch.from_pydict({"pid": pa.array(u, pa.int32()), "n": pa.array(c, pa.int64())})
                     continue
                 for p, part in bits.split(records, pid):
-                    if p not in hot:
-                        parts.append((p, part))
-                        continue
-                    base, b = hot[p]
-                    block = (bits.mix(part["key"].view(np.uint64)) % np.uint64(b)).astype(np.int64)
-                    for i in range(b):
-                        for j in range(i, b):
-                            some = part[(block == i) | (block == j)]
-                            if len(some):
-                                parts.append((base + i * b + j, some))
+                    parts += bits.in_blocks(p, part, hot)
             if parts and not count_only:
                 yield bits.blocks_batch(parts)
 
     hot: dict[int, tuple[int, int]] = {}
+    origin: dict[int, tuple[int, int, int]] = {}
     targets = groups * slices
     if slices > 1:  # a slice that is too large for a task is taken in pairs of blocks; one number per slice comes to the driver
         counted = df.mapInArrow(lambda it: routed(it, True), "pid int, n long").groupBy("pid").agg(F.sum("n").alias("n"))
-        for row in counted.where(F.col("n") > 2 * TASK_ROWS).collect():
-            b = -(-row["n"] // TASK_ROWS)
-            hot[row["pid"]] = (targets, b)
-            targets += b * b
-    origin = {base + k: p for p, (base, b) in hot.items() for k in range(b * b)}
+        full = [(r["pid"], r["n"]) for r in counted.where(F.col("n") > 2 * TASK_ROWS).collect()]
+        hot, targets, origin = bits.blocks_of(full, targets, TASK_ROWS)
 
     def receive(pid: int, records: np.ndarray) -> Iterator[pa.RecordBatch]:
         records = records[np.argsort(records["key"], kind="stable")]
@@ -200,7 +189,7 @@ def links(df: DataFrame, key: str, fingerprint: str, threshold: float, words: in
         label = np.arange(len(key))
         same = np.flatnonzero(key[1:] == key[:-1])
         unite(label, same + 1, same)
-        g = origin.get(pid, pid) // slices
+        g = origin.get(pid, (pid, 0, 0))[0] // slices
         keys = band_keys(minhash(w, minhash_table(range(g * per * ROWS, (g + 1) * per * ROWS), words)))
         for b in range(per):
             link_buckets(label, w, pc, keys[:, b], threshold)

@@ -29,6 +29,7 @@ from ..session import cut
 from . import bits
 
 TASK_ROWS = 40_000  #: rows of a band, each sent once, that one task is to hold
+HOT_ROWS = 250_000  #: rows of one target beyond which it is taken in pairs of blocks
 CHUNK = 1_000_000  #: pairs that are looked at at a time
 SLACK = 3  #: tokens above the least number
 
@@ -130,7 +131,10 @@ def class_pairs(df: DataFrame, key: str, fingerprint: str, threshold: float, wor
         partner = np.minimum(np.floor(length / threshold + 1e-9), ends[k + 1] - 1)
         return most_differing(length, partner, threshold) + 1
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hot: dict[int, tuple[int, int]] = {}
+    origin: dict[int, tuple[int, int, int]] = {}
+
+    def send(batches: Iterator[pa.RecordBatch], count_only: bool = False) -> Iterator[pa.RecordBatch]:
         made: dict[int, Tokens] = {}
         for batch in batches:
             w, ok = bits.words_of(batch["fp"], words)
@@ -146,7 +150,7 @@ def class_pairs(df: DataFrame, key: str, fingerprint: str, threshold: float, wor
                 first, slices = groups[k]
                 some = np.flatnonzero((band == k) | (band == k - 1))
                 if slices == 1:
-                    parts.append((first, records[some]))
+                    parts += bits.in_blocks(first, records[some], hot)
                     continue
                 if k not in made:
                     made[k] = tokens_of(k)
@@ -157,17 +161,26 @@ def class_pairs(df: DataFrame, key: str, fingerprint: str, threshold: float, wor
                 for s in range(slices):
                     goes = ((ph == s) & inside).any(axis=1)
                     if goes.any():
-                        parts.append((first + s, records[some[goes]]))
-            if parts:
+                        parts += bits.in_blocks(first + s, records[some[goes]], hot)
+            if parts and count_only:
+                yield pa.RecordBatch.from_pydict({"pid": pa.array([p for p, _ in parts], pa.int32()), "n": pa.array([len(x) for _, x in parts], pa.int64())})
+            elif parts:
                 yield bits.blocks_batch(parts)
 
+    if any(s and band_rows[k] + (band_rows[k - 1] if k else 0) > 2 * HOT_ROWS for k, (_, s) in enumerate(groups)):
+        counted = df.mapInArrow(lambda it: send(it, True), "pid int, n long").groupBy("pid").agg(F.sum("n").alias("n"))
+        full = [(r["pid"], r["n"]) for r in counted.where(F.col("n") > 2 * HOT_ROWS).collect()]  # one number for each target too full
+        hot, targets, origin = bits.blocks_of(full, targets, HOT_ROWS)
+
     def receive(pid: int, records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pid, one, two = origin.get(pid, (pid, 0, 0))
         k = max(i for i, (f, s) in enumerate(groups) if s and f <= pid)
         first, slices = groups[k]
         records = records[np.argsort(bits.popcount(records["w"]), kind="stable")]
         key, w = records["key"], np.ascontiguousarray(records["w"])
         length = bits.popcount(w).astype(np.int64)
         short = length < ends[k]
+        block = bits.block_of(np.ascontiguousarray(key), hot[pid][1]) if pid in hot else None
         tokens = tokens_of(k)
         hashes, order = tokens(w)
         need = prefix(k, length)
@@ -199,6 +212,8 @@ def class_pairs(df: DataFrame, key: str, fingerprint: str, threshold: float, wor
             la, lb = length[a], length[b]  # la <= lb
             ok = ~short[b] & (la >= threshold * lb - 1e-9)
             ok &= np.maximum(rank[i], rank[j]) <= most_differing(la, lb, threshold)
+            if block is not None:  # pairs within a block are found where the block meets itself
+                ok &= block[a] != block[b] if one != two else True
             a, b = a[ok], b[ok]
             for x in range(0, len(a), CHUNK // 4):
                 p, q = a[x : x + CHUNK // 4], b[x : x + CHUNK // 4]

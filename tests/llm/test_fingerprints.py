@@ -61,9 +61,10 @@ def test_words():
 
 
 @pytest.mark.parametrize("t", [0.5, 0.7, 0.8, 0.9, 1.0])
-@pytest.mark.parametrize("slices", [40_000, 15])
-def test_pairs_are_all_pairs(spark, monkeypatch, t, slices):
+@pytest.mark.parametrize(("slices", "hot"), [(40_000, 250_000), (15, 250_000), (15, 6)])
+def test_pairs_are_all_pairs(spark, monkeypatch, t, slices, hot):
     monkeypatch.setattr(pairs, "TASK_ROWS", slices)
+    monkeypatch.setattr(pairs, "HOT_ROWS", hot)
     rows = family_table(3, flips=14)
     want = {(a, b) for a, b in linked(rows, t)}
     source = {k: s for k, _, s in rows}
@@ -98,7 +99,7 @@ def brute_components(rows, t):
     return {r: g for r, g in groups.items() if len(g) >= 3}
 
 
-@pytest.mark.parametrize("limit", [250_000, 40])
+@pytest.mark.parametrize("limit", [250_000, 40, 4])
 def test_clusters(spark, monkeypatch, limit):
     monkeypatch.setattr(cluster, "TASK_ROWS", limit)
     rows = family_table(8, flips=20)
@@ -155,6 +156,20 @@ def test_neighbours(spark, monkeypatch, shard):
     assert knn.neighbours(frame(spark, [])).count() == 0
 
 
+def test_neighbours_in_a_large_component(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD_ROWS", 80)
+    rng = random.Random(3)
+    base = set(rng.sample(range(512), 60))
+    subs = [base ^ set(rng.sample(range(512), 6)) for _ in range(15)]
+    rows = [(i + 1, rng.choice(subs) ^ set(rng.sample(range(512), rng.randint(0, 8))), "a") for i in range(500)]
+    want = brute_neighbours(rows, 5, 0.6)
+    got = {}
+    for r in knn.neighbours(frame(spark, rows)).collect():
+        got.setdefault(r["key"], []).append(r["neighbour"])
+    assert all(len(set(v)) == len(v) <= 5 for v in got.values())
+    assert sum(len(set(got.get(k, [])) & set(v)) for k, v in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_copies_are_each_others_neighbours(spark):
     rows = [(i, {1, 2, 3, 4}, "a") for i in range(30)] + [(50, {1, 2, 3}, "a"), (51, None, "a"), (52, set(), "a")]
     assert {r["key"]: None for r in knn.neighbours(frame(spark, rows)).collect()}.keys() == {*range(30), 50}
