@@ -139,3 +139,40 @@ def text(df: DataFrame, query: str | None, most: int | None = None, *filters: Co
         hit = hit.withColumn("score", F.lit(0.0))
     hit = hit.orderBy(F.desc("score"), key)
     return hit.limit(most) if most and most > 0 else hit
+
+
+def substructure_join(df: DataFrame, queries: DataFrame, key: str = "doc_key", structure: str = "_molfile", query_key: str = "query_id", query: str = "query") -> DataFrame:
+    """(query key, key, hits) for every query of a batch against all rows; queries that can't be parsed find nothing.
+
+    Each structure is parsed once, and its path fingerprint screens the queries before any is matched. The batch goes to
+    every task, so its size is checked.
+    """
+    texts = [(r[0], r[1]) for r in queries.select(F.col(query_key).cast("long"), query).where(F.col(query).isNotNull()).limit(BROADCAST_ROWS + 1).collect()]
+    if len(texts) > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} queries at once; split the batch")
+    schema = f"{query_key} long, {key} {dict(df.dtypes)[key]}, hits array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = []
+        for k, text in texts:
+            try:
+                q = match.prepared(molfile.read(text))
+            except ValueError:
+                continue
+            ready.append((k, match.Query(q), [(i, w) for i, w in enumerate(fingerprints.paths(q)) if w]))
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            rows = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    t = match.prepared(molfile.read(text))
+                except ValueError:
+                    continue
+                bits = fingerprints.paths(t)
+                for q, matcher, need in ready:
+                    if all(bits[i] & w == w for i, w in need) and (hit := matcher.first(t)):
+                        rows.append((q, k, [None if x is None else x + 1 for x in hit]))
+            columns = list(zip(*rows)) if rows else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], kind), pa.array(columns[2], pa.list_(pa.int32()))], names=[query_key, key, "hits"])
+
+    return spread(df.where(F.col(structure).isNotNull()).select(key, structure)).mapInArrow(run, schema)

@@ -203,6 +203,43 @@ def saved_filters(spark, d):
     return m.join(q, F.coalesce(F.forall("filters", holds), F.lit(True))).groupBy("query_id").agg(F.count("*").alias("rows"))
 
 
+@query(f"SELECT doc_key, {_bit_sql(3)} = 1 AS bit3, {_bit_sql(63)} = 1 AS bit63, {_bit_sql(300)} = 1 AS bit300 FROM molecules WHERE _fingerprint_sim IS NOT NULL")
+def fingerprint_bits(spark, d):
+    bits = [F.expr(f"{fp.bit('_fingerprint_sim', i)} = 1").alias(f"bit{i}") for i in (3, 63, 300)]
+    return molecules(spark, d).where("_fingerprint_sim is not null").select("doc_key", *bits)
+
+
+@query("SELECT doc_key, list_aggregate(list_transform(_fingerprint_sim, lambda x: lpad(to_hex(x), 16, '0')), 'string_agg', '') AS hex FROM molecules WHERE _fingerprint_sim IS NOT NULL")
+def fingerprint_hex(spark, d):
+    return molecules(spark, d).where("_fingerprint_sim is not null").select("doc_key", F.expr(fp.to_hex("_fingerprint_sim")).alias("hex"))
+
+
+@query(f"SELECT doc_key FROM molecules WHERE _fingerprint_sim IS NOT NULL AND list_sum(list_transform(_fingerprint_sim, lambda x: bit_count(x)::INT)) BETWEEN {fp.popcount_window(65, 0.8)[0]} AND {fp.popcount_window(65, 0.8)[1]}")
+def popcount_window(spark, d):
+    return molecules(spark, d).where("_fingerprint_sim is not null").where(fp.in_window(fp.bits_of(fp.words_of("_fingerprint_sim")), 65, 0.8)).select("doc_key")
+
+
+@query("SELECT doc_key, coalesce(name, lpad(doc_key::VARCHAR, 10, '0')) AS record_id, props['prop1'] AS prop1 FROM molecules")
+def record_ids_and_property(spark, d):
+    return molecules(spark, d).select("doc_key", F.coalesce("name", F.lpad(F.col("doc_key").cast("string"), 10, "0")).alias("record_id"), F.try_element_at("props", F.lit("prop1")).alias("prop1"))
+
+
+@query("SELECT DISTINCT file_name, regexp_replace(file_name, '(.)\\.[^.]*$', '\\1') AS source FROM raw_records")
+def source_from_file_name(spark, d):
+    return table(spark, d, "raw_records").select("file_name").distinct().withColumn("source", F.regexp_replace("file_name", r"(?<=.)\.[^.]*$", ""))
+
+
+@query("SELECT hit_id, list_transform(hits, lambda x: x - 1) AS places FROM search_hits WHERE hits IS NOT NULL")
+def hit_places(spark, d):
+    """Hits counted from 0."""
+    return table(spark, d, "search_hits").where("hits is not null").select("hit_id", F.transform("hits", lambda x: x - 1).alias("places"))
+
+
+@query(f"SELECT doc_key FROM molecules WHERE _fingerprint_sim IS NOT NULL AND {_code_sql(BOOKS[1])} IN (1, 3, 7)")
+def code_disjunction(spark, d):
+    return molecules(spark, d).where(f"({codebook.code('_fingerprint_sim', BOOKS[1])}) in (1, 3, 7)").select("doc_key")
+
+
 # aggregates
 
 
@@ -410,6 +447,12 @@ def structures_as_smiles(spark, d):
     return structures.as_text(molecules(spark, d).where("_molfile is not null"), "smiles").select("doc_key", F.col("text").alias("smiles"))
 
 
+@query()
+def substructure_batch_join(spark, d):
+    """Every saved substructure query against all molecules."""
+    return search.substructure_join(molecules(spark, d), table(spark, d, "saved_queries").where("kind = 'substructure'"))
+
+
 _TOY = [("a", 1, "C"), ("a", 2, "O"), ("a", 3, "C"), ("b", 1, "C"), ("b", 2, "C"), ("b", 3, "O"), ("c", 1, "C"), ("c", 2, "C"), ("c", 3, "C")]
 _TOY_BONDS = [("a", 1, 2), ("a", 2, 3), ("b", 1, 2), ("b", 2, 3), ("c", 1, 2), ("c", 2, 3), ("c", 1, 3)]
 _ATOMS_SQL = "(VALUES " + ", ".join(f"('{g}', {i}, '{s}')" for g, i, s in _TOY) + ") t(g, i, s)"

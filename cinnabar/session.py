@@ -52,13 +52,24 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # as long as the session may need it
     return spark.read.schema(df.schema).parquet(path)
 
 
+def splits(df: DataFrame) -> int:
+    """About as many tasks as will read ``df``, from the planner's estimate of its size; nothing is run."""
+    spark = df.sparkSession
+    each = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes").lower())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(100_000, max(1, -(-size // each)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work that costs far more than moving its rows.
 
     Only a table of few splits is moved at all; a large one has enough and stays where it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if splits(df) < cores else df

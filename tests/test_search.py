@@ -44,6 +44,16 @@ def test_filtered_substructure(spark, tmp_path):
     assert set(whole[0]["hits"]) == set(range(1, 10))
 
 
+def test_batches_of_queries_find_what_single_ones_do(spark, tmp_path):
+    t = filled(spark, tmp_path / "s", C5 + C6).table()
+    texts = ["c1ccccc1", "C(=O)O", "C(", "C*", None]
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+    got = {(r["query_id"], r["doc_key"]): r["hits"] for r in search.substructure_join(t, q).collect()}
+    for i, text in enumerate(texts):
+        want = {r["doc_key"]: r["hits"] for r in search.substructure(t, text).collect()} if text not in ("C(", None) else {}
+        assert {k: h for (n, k), h in got.items() if n == i} == want
+
+
 def test_similarity_search(spark, tmp_path):
     t = filled(spark, tmp_path / "s", C6).table()
     from cinnabar.chem import fingerprints, match, molfile
