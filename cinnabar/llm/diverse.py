@@ -5,7 +5,7 @@ and, because a sum over hundreds of far pairs would forgive two members of one f
 of the similarity above ``NEAR``. Each partition is read once in blocks: the rows chosen so far and the block's rows
 compete, first by farthest-first choice, then by swaps of a chosen for an unchosen row while the sum of distances grows.
 What a partition chose is its core-set; core-sets are merged the same way, ``FAN_IN`` at a time, until one is left. A task
-holds a block and FAN_IN core-sets, whatever the table's size.
+holds a block and a core-set, whatever the table's size.
 
 Rows without a fingerprint (null, empty, too wide) are only taken where there are fewer than ``k`` others; a null source
 is a source of its own; null keys are left out; equal rows have distance 0 (1 - J) and the full surcharge, so copies are
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import splits
 from . import bits
 
 SOURCE = 0.2
@@ -117,9 +118,9 @@ def subset(df: DataFrame, k: int = 200, key: str = "doc_key", fingerprint: str =
     if k < 1:
         raise ValueError("k is at least 1")
     df = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(source).cast("string"), F.col(source).isNull()).alias("side"), F.col(fingerprint).alias("fp")).where("key is not null")
-    parts = df.rdd.getNumPartitions()
     found = core_sets(df, k, words)
-    while parts > 1:
+    parts = splits(df) * FAN_IN
+    while parts > 1:  # about FAN_IN core-sets a task; more of them are only more blocks
         parts = -(-parts // FAN_IN)
         to = F.lit(0) if parts == 1 else F.pmod(F.spark_partition_id(), F.lit(parts))
         found = core_sets(found.withColumn("to", to.cast("int")).repartitionById(parts, F.col("to")).drop("to"), k, words)

@@ -60,6 +60,8 @@ def _table(codec: str) -> list[str]:
 
 _DECODE = {c: _table(c) for c in READ}
 _ENCODE = {c: {ch: b for b, ch in reversed(list(enumerate(t)))} for c, t in _DECODE.items()}
+#: punctuation, currencies, arrows and mathematical signs
+_SYMBOLS = ((0x2010, 0x2045), (0x20A0, 0x20C0), (0x2190, 0x219A), (0x2200, 0x2266))
 _READABLE = frozenset(c for t in _DECODE.values() for c in t if c > "\x7f")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -163,7 +165,7 @@ def _run_spots(run: str, written: str, read: str) -> tuple[tuple[int, int, str],
 def _lossy(written: str, read: str) -> dict[str, list[str]]:
     """What is left of a character's garbled form where the control characters in it were dropped."""
     out: dict[str, list[str]] = {}
-    for c in sorted({c for t in _DECODE.values() for c in t if c > "\x9f"}):
+    for c in sorted({c for t in _DECODE.values() for c in t if c > "\x9f"} | {chr(i) for a, b in _SYMBOLS for i in range(a, b)}):
         g = garbled(c, written, read) or ""
         left = "".join(x for x in g if not "\x80" <= x <= "\x9f")
         if left and left != g:
@@ -278,7 +280,7 @@ class Judge:
                 if alone > after and (e - s == 4 or self.support(line[s:e], 1, 2) * times <= alone):
                     after, before = alone, min(before, self.support(line[s:e], 1, 2))
             if SEEN <= after < NEVER and after >= times * before and not any("\x80" <= c <= "\x9f" or c == LOST for c in d):
-                gain += log((after + 0.5) / (before + 0.5))
+                gain += log((after + 0.5) / (before + 0.5)) * max(1, len(d) / 2)  # a long stretch is more evidence
                 good.append((s, e, d))
             elif every:
                 bad += 1
@@ -308,7 +310,7 @@ class Judge:
                         continue
                     if w in MULTI:
                         known: dict[tuple[int, int], int] = {}
-                        if self.better(text, spots, False, times, known) or w == "utf-8" and self.better(text, self.inner(spots, w, r), False, times, known):
+                        if self.better(text, spots, False, TIMES, known) or w == "utf-8" and self.better(text, self.inner(spots, w, r), False, TIMES, known):
                             found.add((w, r))
                     elif any(self.single(text, s, e, d, times) for s, e, d in spots):
                         found.add((w, r))
@@ -345,9 +347,9 @@ class Judge:
             spots = [(at + s, at + e, d) for at, run, _, _ in runs for s, e, d in _run_spots(run, w, r)]
             if w not in MULTI and 5 * sum(any(c not in _ENCODE[r] for c in run) for _, run, _, _ in runs) > len(runs):
                 continue
-            got = self.better(line, spots, w not in MULTI, times, known)
+            got = self.better(line, spots, w not in MULTI, TIMES if w in MULTI else times, known)
             if got is None and w == "utf-8":
-                got = self.better(line, self.inner(spots, w, r), False, times, known)
+                got = self.better(line, self.inner(spots, w, r), False, TIMES, known)
             if got and (best is None or got[0] > best[0] + 1e-9):
                 best = got
         return best
