@@ -170,6 +170,32 @@ def test_neighbours_in_a_large_component(spark, monkeypatch):
     assert sum(len(set(got.get(k, [])) & set(v)) for k, v in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_neighbours_in_a_family_that_no_minhash_divides(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD_ROWS", 60)
+    rng = random.Random(4)
+    order = rng.sample(range(512), 512)
+    base, free = set(order[:70]), order[70:]
+    family = {frozenset(base | set(rng.sample(free, rng.randint(1, 3)))) for _ in range(500)}
+    rows = [(i + 1, set(s), "a") for i, s in enumerate(sorted(family, key=sorted))]
+    rng.shuffle(rows)
+    want = brute_neighbours(rows, 5, 0.6)
+    got = {}
+    for r in knn.neighbours(frame(spark, rows)).collect():
+        got.setdefault(r["key"], []).append(r["neighbour"])
+    assert all(len(set(v)) == len(v) <= 5 for v in got.values())
+    assert sum(len(set(got.get(k, [])) & set(v)) for k, v in want.items()) >= 0.95 * sum(map(len, want.values()))
+
+
+def test_compared_finds_the_first_of_equals():
+    rows = [(i, {*range(40)} ^ {100 + i % 7, 200 + i}, "a") for i in range(60)]
+    w = np.array([words(s) for _, s, _ in rows], np.int64).view(np.uint64)
+    row, other, _ = knn.compared(w, np.arange(60), np.arange(60), 5, 0.6)
+    got = {}
+    for r, o in zip(row.tolist(), other.tolist()):
+        got.setdefault(r, set()).add(o)
+    assert got == {k: set(v) for k, v in brute_neighbours(rows, 5, 0.6).items()}
+
+
 def test_copies_are_each_others_neighbours(spark):
     rows = [(i, {1, 2, 3, 4}, "a") for i in range(30)] + [(50, {1, 2, 3}, "a"), (51, None, "a"), (52, set(), "a")]
     assert {r["key"]: None for r in knn.neighbours(frame(spark, rows)).collect()}.keys() == {*range(30), 50}
