@@ -399,7 +399,7 @@ class Judge:
         if got is not None:
             affected, line = True, got
         runs = _runs(line)
-        if not affected and sum(len(run) for _, run, _, _ in runs) >= 4:
+        if not affected and runs:
             rare = [self.support(line, at, at + len(run)) < max(TIMES * SEEN, self.most / 1000) for at, run, _, _ in runs]
             if 2 * sum(rare) > len(rare):
                 # a line unlike any other: what no twin showed, on stronger evidence

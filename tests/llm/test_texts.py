@@ -3,6 +3,7 @@
 import base64
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -174,6 +175,17 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert [got[first + i] for i in range(8)] == [CLEAN[0], CLEAN[2], CLEAN[3], CLEAN[4], "> " + CLEAN[6], CLEAN[7], CLEAN[1] + "\n" + CLEAN[5], "Ganz neu: die Größe wäre später trüb."]
 
 
+def test_few_characters_of_a_transformation_that_no_twin_shows():
+    lines = [x for t in corpus() for x in t.split("\n")]
+    counts = np.zeros(2 * mojibake.TABLE, np.int64)
+    mojibake.count_lines(lines, [4 * mojibake.UNIT] * len(lines), counts)
+    judge = mojibake.Judge(counts, [])
+    for written in ("mac-roman", "cp850"):
+        for text in ("Wenn wir sie prüfen.", "Schöne Größe.", "Die Größe wäre trüb."):
+            assert judge.restored(bad(text, written, "cp1252")) == (True, text)
+    assert not any(judge.restored(x)[0] for x in CLEAN + TRAPS + ["Ä ok", "a ½ b", "½ wäre", "Æsa"])
+
+
 def test_no_texts(spark):
     assert mojibake.affected(frame(spark, [])).count() == 0
     assert mojibake.affected(frame(spark, [None, "", "x" * 100_000, "é" * 50_000])).count() == 0
