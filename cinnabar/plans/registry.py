@@ -180,8 +180,15 @@ AND len(list_filter(coalesce(q.filters, []), lambda f: NOT coalesce(
 @query(f"SELECT query_id, count(*) AS rows FROM ({_FILTERED_SQL}) GROUP BY query_id")
 def saved_filters(spark, d):
     """How many molecules each saved filter query lets through: filters are data here, applied to all rows in one pass."""
-    q = F.broadcast(table(spark, d, "saved_queries").where("kind = 'filter'").select("query_id", "filters").limit(search.BROADCAST_ROWS))
-    m = molecules(spark, d).select("_natoms", "_nbonds", "_molwt", "_popcount", "props")
+    return filter_counts(molecules(spark, d), table(spark, d, "saved_queries").where("kind = 'filter'"))
+
+
+def filter_counts(m: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, rows): a batch of a checked size is sent to every task, a larger one meets the rows part by part."""
+    q = queries.select("query_id", "filters")
+    if q.limit(search.BROADCAST_ROWS + 1).count() <= search.BROADCAST_ROWS:
+        q = F.broadcast(q)
+    m = m.select("_natoms", "_nbonds", "_molwt", "_popcount", "props")
 
     def value(f):
         text = F.try_element_at("props", f["field"])

@@ -234,3 +234,15 @@ def test_arriving_files(spark, tmp_path):
     for _ in range(2):
         ingest.into_store(ingest.watch_smiles(spark, str(tmp_path / "in")), store, str(tmp_path / "cp"), once=True).awaitTermination()
         assert sorted(ids(store.table())) == ["one", "two"]
+
+
+def test_too_many_saved_filters_are_not_cut(spark, monkeypatch, tmp_path):
+    from cinnabar.plans import registry
+
+    m = spark.createDataFrame([(5, 4, 60.0, 7, {})], "_natoms int, _nbonds int, _molwt double, _popcount int, props map<string,string>")
+    q = spark.createDataFrame([(i, "filter", None) for i in range(4)], "query_id long, kind string, filters array<struct<field:string,type:string,lo:double,hi:double,lo_inc:boolean,hi_inc:boolean>>")
+    q.write.parquet(str(tmp_path / "saved_queries.parquet"))
+    m.write.parquet(str(tmp_path / "molecules.parquet"))
+    for most in (4, 3):
+        monkeypatch.setattr(search, "BROADCAST_ROWS", most)
+        assert {(r["query_id"], r["rows"]) for r in registry.saved_filters(spark, str(tmp_path)).collect()} == {(i, 1) for i in range(4)}
