@@ -46,13 +46,11 @@ def fields(line: str | None, delim: str) -> list[str]:
     if line is None:
         raise Unloadable("column_count")
     line = line.removesuffix("\r")
-    if not _grammar(delim).fullmatch(line):
-        raise Unloadable("quoting")
     try:
         rows = list(csv.reader([line], delimiter=delim, strict=True))
     except csv.Error as e:
         raise Unloadable("quoting") from e
-    if len(rows) > 1:
+    if len(rows) > 1 or not _grammar(delim).fullmatch(line):
         raise Unloadable("quoting")
     return rows[0] if rows and rows[0] else [""]
 

@@ -43,6 +43,19 @@ def test_reasons(spark):
     assert list(reasons(spark, rows).values()) == [ok, ok, q, q, q, q, c, c, c, c, ok, ok, v, v, v, v, v, ok, v, ok, q, ok, ok, v, q, ok]
 
 
+def test_the_reader_decides_before_the_grammar(monkeypatch):
+    asked = []
+    grammar = records._grammar
+    monkeypatch.setattr(records, "_grammar", lambda d: asked.append(d) or grammar(d))
+    for line, by_grammar in (('a,"b"c', 0), ('a,"b', 0), ('a,b"c', 1), ("a\nb", 0), ('a,"b ""c"""', 1)):
+        asked.clear()
+        try:
+            assert records.fields(line, ",") == ["a", 'b "c"']
+        except records.Unloadable as e:
+            assert str(e) == "quoting"
+        assert len(asked) == by_grammar, line
+
+
 def test_typed_columns(spark):
     df = spark.createDataFrame([(1, ",", " s ,a:b,CCO, 46.07 ,2020-02-29,a=1;a=2;x;c=", "clash")], COLUMNS)
     r = records.load(df).first()
