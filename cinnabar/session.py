@@ -59,11 +59,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def splits(df: DataFrame) -> int:
-    """About as many tasks as will read ``df``, from the planner's estimate of its size; nothing is run."""
-    spark = df.sparkSession
-    each = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes").lower())
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(100_000, max(1, -(-size // each)))
+    """The number of tasks that will produce ``df``: the splits of a scan, or what the plan's last shuffle makes; nothing is run."""
+    plan = df._jdf.queryExecution().executedPlan()
+    known = plan.outputPartitioning().numPartitions()
+    if known:
+        return known
+    if "Exchange" in plan.toString():
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, df.rdd.getNumPartitions())
 
 
 def spread(df: DataFrame) -> DataFrame:
