@@ -60,8 +60,8 @@ def test_words():
     assert bits.words_of(pa.array([], pa.list_(pa.int64())))[0].shape == (0, 8)
 
 
-@pytest.mark.parametrize("t", [0.6, 0.8, 1.0])
-@pytest.mark.parametrize(("slices", "hot"), [(40_000, 250_000), (30, 8)])
+@pytest.mark.parametrize("t", [0.5, 0.6, 0.7, 0.8, 0.9, 1.0])
+@pytest.mark.parametrize(("slices", "hot"), [(40_000, 250_000), (15, 250_000), (30, 8)])
 def test_pairs_are_all_pairs(spark, monkeypatch, t, slices, hot):
     monkeypatch.setattr(pairs, "TASK_ROWS", slices)
     monkeypatch.setattr(pairs, "HOT_ROWS", hot)
@@ -99,7 +99,7 @@ def brute_components(rows, t):
     return {r: g for r, g in groups.items() if len(g) >= 3}
 
 
-@pytest.mark.parametrize("limit", [250_000, 20])
+@pytest.mark.parametrize("limit", [250_000, 40, 20, 4])
 def test_clusters(spark, monkeypatch, limit):
     monkeypatch.setattr(cluster, "TASK_ROWS", limit)
     rows = family_table(8, flips=20)
