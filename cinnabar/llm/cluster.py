@@ -80,8 +80,10 @@ def verified(w: np.ndarray, pc: np.ndarray, a: np.ndarray, b: np.ndarray, thresh
     out = np.zeros(len(a), bool)
     for s in range(0, len(a), CHUNK // 4):
         x, y = a[s : s + CHUNK // 4], b[s : s + CHUNK // 4]
-        inter = bits.overlap(w, x, y)
-        out[s : s + CHUNK // 4] = bits.at_least(inter, pc[x] + pc[y] - inter, threshold)
+        px, py = pc[x], pc[y]
+        able = np.flatnonzero(np.minimum(px, py) >= threshold * np.maximum(px, py) - 1e-9)  # sizes too different are never as similar
+        inter = bits.overlap(w, x[able], y[able])
+        out[s + able] = bits.at_least(inter, (px + py)[able] - inter, threshold)
     return out
 
 
