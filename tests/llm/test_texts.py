@@ -182,10 +182,88 @@ def test_few_characters_of_a_transformation_that_no_twin_shows():
     judge = mojibake.Judge(counts, [])
     for written in ("mac-roman", "cp850"):
         for text in ("Wenn wir sie prüfen.", "Schöne Größe.", "Die Größe wäre trüb."):
-            assert judge.restored(bad(text, written, "cp1252")) == (True, text)
+            assert judge.restored(bad(text, written, "cp1252")) == (True, text, False, True)
     assert not any(judge.restored(x)[0] for x in CLEAN + TRAPS + ["Ä ok", "a ½ b", "½ wäre", "Æsa"])
 
 
+def test_correct_lines_of_many_texts_are_left_alone(spark):
+    """Lines that look like what garbling leaves, each in many texts; one of them was garbled once more in a few."""
+    rows = ["Ð (eth), Ñ (eñe)", "€ £ ¥ ¢ ¤", "AVELÃ® e HORTELÃ™ (marcas)", "Zwischen <b>ändert</b> sich die Größe kaum."]
+    texts = corpus() + [f"{x}\n{CLEAN[i % 8]}" for x in rows for i in range(30)]
+    first = len(texts)
+    texts += [bad(rows[2], "utf-8", "cp1252"), bad(rows[2], "utf-8", "mac-roman")]
+    assert {r["doc_id"] for r in mojibake.affected(frame(spark, texts)).collect()} == {first, first + 1}
+
+
+JAPANESE = ["昨日、新しい触媒を混ぜました。", "たぶん溶液ではなく濾紙が黄色いです。", "97行目の結果を誰か調べましたか？"]
+
+
+def test_second_bytes_in_ascii(spark):
+    """Two-byte encodings whose second byte may be ASCII leave no twin with the same ASCII characters."""
+    texts = corpus() + [f"{JAPANESE[i % 3]}{JAPANESE[(i + i // 3) % 3]} ({i})" for i in range(200)]
+    first = len(texts)
+    texts += [bad(x, "cp932", "cp1252") for x in JAPANESE]
+    got = {r["doc_id"]: r["restored"] for r in mojibake.restored(frame(spark, texts)).collect()}
+    assert got == {first + i: x for i, x in enumerate(JAPANESE)}
+
+
+def test_short_lines_are_twins_where_their_texts_are(spark):
+    """Lines of a few ASCII characters, garbled in a way that nothing else shows."""
+    russian = ["Вчера я проверил фильтр", "Похоже, образец сухой", "Спасибо, раствор чистый"]
+    texts = [f"{russian[i % 3]}\nsample number {i} was left alone\n{russian[(i + 1) % 3]}" for i in range(60)]
+    first = len(texts)
+    texts += [f"{bad(russian[i % 3], 'cp1251', 'cp1252')}\nsample number {i} was left alone\n{bad(russian[(i + 1) % 3], 'cp1251', 'cp1252')}" for i in range(4)]
+    got = {r["doc_id"]: (r["restored"], r["shown"]) for r in mojibake.restored(frame(spark, texts)).collect()}
+    assert got == {first + i: (texts[i], True) for i in range(4)}
+
+
+def test_each_line_keeps_its_break(spark):
+    texts = corpus()
+    first = len(texts)
+    texts.append(f"plain\r\n{bad(CLEAN[0], 'utf-8', 'cp1252')}\n\r\n{CLEAN[1]}\rend\r\n")
+    got = {r["doc_id"]: r["restored"] for r in mojibake.restored(frame(spark, texts)).collect()}
+    assert got == {first: f"plain\r\n{CLEAN[0]}\n\r\n{CLEAN[1]}\rend\r\n"}
+
+
+def test_pieces_and_transformations():
+    assert mojibake.pieces(("ä€",), "utf-8", "cp1252", 1) == {("Ã¤", "ä"), ("â‚¬", "€")}
+    assert mojibake.pieces(("ä",), "utf-8", "cp1252", 2) == {("Ã¤", "ä"), ("Ãƒ", "Ã"), ("Â¤", "¤")}
+    assert mojibake.cover({"utf-8>cp1252 utf-8>cp1254": 5, "utf-8>cp1254 utf-8>latin-1": 1, "utf-8>cp1252": 1}) == [("utf-8", "cp1252"), ("utf-8", "latin-1")]
+
+
+def test_counts_are_those_of_single_lines():
+    lines = ["Größe der Säule: 45 °C", "é", "à la «ligne» ½", "日本語のテスト", "Größe Größe", ""]
+    many = np.zeros(2 * mojibake.TABLE, np.int64)
+    mojibake.count_lines(lines, [1, 2, 3, 4, 5, 6], many)
+    want = np.zeros_like(many)
+    for x, n in zip(lines, [1, 2, 3, 4, 5, 6]):
+        own = {i for w in mojibake.words(x) for i in mojibake._word(w)} | {mojibake._character(c) for c in x if c > "\x7f"}
+        t = "\n" + x + "\n"
+        own |= {mojibake._pair(p, q) for p, q in zip(t, t[1:]) if max(p, q) > "\x7f"}
+        want[list(own)] += n
+    assert (many == want).all()
+    mojibake.count_lines([], [], many)
+
+
+def test_planted_garbling_is_found(spark):
+    """Recall and precision on texts garbled here, of which a third has no twin."""
+    rng = random.Random(11)
+    words = [w for x in CLEAN for w in x.split()]
+    texts, planted = [], set()
+    for i in range(1500):
+        x = f"{CLEAN[i % 8]} {' '.join(rng.sample(words[(i % 4) * 12 : (i % 4) * 12 + 14], 8))} {i // 2}"
+        if i % 9 == 0:
+            y = bad(x, *rng.choice([("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp1251"), ("utf-8", "cp437")]), rng.choice([1, 1, 1, 2]))
+            if i % 27:
+                texts.append(x)
+            planted.add(len(texts))
+            texts.append(y)
+        else:
+            texts.append(x)
+    got = {r["doc_id"] for r in mojibake.affected(frame(spark, texts)).collect()}
+    assert len(got & planted) >= 0.98 * len(planted) and len(got - planted) <= 0.02 * len(planted)
+
+
 def test_no_texts(spark):
     assert mojibake.affected(frame(spark, [])).count() == 0
     assert mojibake.affected(frame(spark, [None, "", "x" * 100_000, "é" * 50_000])).count() == 0
