@@ -430,9 +430,10 @@ class Judge:
                 at = len(before)
                 for w, r in chains:
                     spots = [(s + at, e + at, d) for s, e, d in _run_spots(run, w, r)]
-                    if w == "cp932":
-                        if spots or run[-1] in _ENCODE[r]:
-                            found.add((w, r))  # its stretches may end beyond the run
+                    if w == "cp932":  # its stretches may end beyond the run
+                        more = [d for _, _, d in _run_spots(run + after if "\x40" <= after <= "\x7e" else run, w, r)]
+                        if any(min(self.inside(d), default=0) >= self.seen for d in more):
+                            found.add((w, r))
                     elif not spots:
                         continue
                     elif w in MULTI:
@@ -446,6 +447,10 @@ class Judge:
                 self.hopes[key] = got
         return got
 
+    def inside(self, d: str) -> list[int]:
+        """Counts of the pairs within a stretch, or of its one character."""
+        return [int(self.counts[_pair(p, q)]) for p, q in zip(d, d[1:])] or [int(self.counts[_character(c)]) for c in d]
+
     def single(self, text: str, s: int, e: int, d: str, times: float) -> bool:
         after = self.support(text[:s] + d + text[e:], s, s + len(d))
         return self.seen <= after < NEVER and after >= times * self.support(text, s, e)
@@ -541,19 +546,24 @@ class Judge:
         return affected, line, shown, weak and affected
 
 
-BREAK = r"\r\n|\n|\r"
-NOT_ASCII = r"[^\x00-\x7f]"
+BREAK = r"[\r\n]"  #: each one breaks; between the two of a Windows break is an empty line
+FAR = r"[^\x00-\x7f]+"
 HIDDEN = r"[^\x21-\x7e]+"
 
 
+def _far(x: Column | str) -> Column:
+    """Whether a text isn't ASCII."""
+    return F.octet_length(x) > F.char_length(x)
+
+
 def _line(x: Column) -> Column:
-    return F.regexp_replace(x, r"^[>| \t]+", "")
+    return F.ltrim(x, F.lit(">| \t"))
 
 
 def _twins(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b): the most frequent line of each group of twins with every other one, and their texts. Only hashes are grouped."""
     own = lines.where("s is not null").select(F.col("s").alias("k"), "h", "n")
-    parts = texts.select(F.xxhash64(F.regexp_replace("text", HIDDEN, "")).alias("t"), F.posexplode(F.split("text", BREAK)).alias("i", "line")).where(F.col("line").rlike(NOT_ASCII))
+    parts = texts.select(F.xxhash64(F.regexp_replace("text", FAR, "")).alias("t"), F.posexplode(F.split("text", BREAK)).alias("i", "line")).where(_far("line"))
     parts = parts.withColumn("line", _line(F.col("line"))).where(F.length(F.regexp_replace("line", HIDDEN, "")) < SKELETON)
     short = parts.groupBy(F.xxhash64("t", "i").alias("k"), F.xxhash64("line").alias("h")).agg(F.count("*").alias("n"))
     own = cut(own.unionByName(short))
@@ -624,8 +634,8 @@ def _judge(name: str, shared) -> Judge:
 def judged(df: DataFrame, text: str = "text") -> DataFrame:
     """(line, restored, shown): the distinct affected lines of all texts, without marks of quotation, and what they were."""
     spark = df.sparkSession
-    texts = spread(df.select(F.col(text).cast("string").alias("text"))).where(F.col("text").rlike(NOT_ASCII))
-    lines = texts.select(F.explode(F.array_distinct(F.split("text", BREAK))).alias("line")).where(F.col("line").rlike(NOT_ASCII)).select(_line(F.col("line")).alias("line"))
+    texts = spread(df.select(F.col(text).cast("string").alias("text"))).where(_far("text"))
+    lines = texts.select(F.explode(F.array_distinct(F.split("text", BREAK))).alias("line")).where(_far("line")).select(_line(F.col("line")).alias("line"))
     skeleton = F.regexp_replace("line", HIDDEN, "")
     lines = lines.groupBy("line").agg(F.count("*").alias("n")).select("line", "n", F.xxhash64("line").alias("h"), F.when(F.length(skeleton) >= SKELETON, F.xxhash64(skeleton)).alias("s"))
     lines = cut(lines)
@@ -674,7 +684,7 @@ def judged(df: DataFrame, text: str = "text") -> DataFrame:
 def affected(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key) of the texts of which at least one line is affected."""
     bad = judged(df, text).select(F.xxhash64("line").alias("h"))
-    own = df.select(F.col(key), F.explode(F.array_distinct(F.split(F.col(text).cast("string"), BREAK))).alias("line")).where(F.col("line").rlike(NOT_ASCII)).select(key, F.xxhash64(_line(F.col("line"))).alias("h"))
+    own = df.select(F.col(key), F.explode(F.array_distinct(F.split(F.col(text).cast("string"), BREAK))).alias("line")).where(_far("line")).select(key, F.xxhash64(_line(F.col("line"))).alias("h"))
     return own.join(bad, "h", "left_semi").select(key).distinct()
 
 
@@ -686,7 +696,7 @@ def restored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     bad = cut(judged(df, text).select(F.xxhash64("line").alias("h"), F.coalesce("restored", "line").alias("new"), "shown"))
     own = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     lines = own.select("k", F.posexplode(F.split("t", BREAK)).alias("i", "line")).withColumn("h", F.xxhash64(_line(F.col("line"))))
-    hit = lines.where(F.col("line").rlike(NOT_ASCII)).join(bad, "h").select("k", "i", F.concat(F.regexp_extract("line", r"^[>| \t]*", 0), F.col("new")).alias("new"), "shown")
+    hit = lines.where(_far("line")).join(bad, "h").select("k", "i", F.concat(F.regexp_extract("line", r"^[>| \t]*", 0), F.col("new")).alias("new"), "shown")
     changes = hit.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("i", "new"))).alias("changes"), F.min("shown").alias("shown"))
     whole = own.join(changes, "k").withColumn("breaks", F.regexp_extract_all("t", F.lit(f"({BREAK})")))
     new = F.array_join(F.transform(F.split("t", BREAK), lambda x, i: F.concat(F.coalesce(F.try_element_at("changes", i), x), F.coalesce(F.get("breaks", i), F.lit("")))), "")
