@@ -1,7 +1,7 @@
 """Grouping records into similarity clusters.
 
 MinHash banding proposes pairs, exact Jaccard verifies them, connected components form the groups, and loose groups are
-split around the members with the most neighbours.
+split around the members that are most like the others.
 
 No bucket's pairs are emitted. A task keeps a forest over its rows: it checks each bucket against a few of its members
 first, and then only those pairs of the bucket that the forest doesn't join yet, all of them, so no verified link between
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fingerprint as fp
 from ..session import cut
 from . import bits
 
@@ -217,6 +218,22 @@ def distinct_rows(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[rank], place[back]
 
 
+HUB = 100_000  #: edges of one node from which it is looked up by itself
+
+
+def _looked_up(edges: DataFrame, total: int, low: DataFrame) -> DataFrame:
+    """(u, v, m): ``edges`` with what ``low`` (v, m) has for v.
+
+    The nodes that hold the most edges, ten thousand at most, are looked up in a small table; only the others are shuffled.
+    """
+    most = max(HUB, total // 10_000)
+    if total <= most:
+        return edges.join(low, "v", "left")
+    hubs = cut(edges.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > most).join(low, "v", "left").select("v", F.col("m").alias("hub"), F.lit(True).alias("is_hub")))
+    edges = edges.join(F.broadcast(hubs), "v", "left")  # at most total / most rows
+    return edges.where("is_hub is null").select("u", "v").join(low, "v", "left").unionByName(edges.where("is_hub").select("v", "u", F.col("hub").alias("m")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges`` (u, v) with the least node it is connected to, by large-star and small-star rounds.
 
@@ -227,17 +244,16 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # settled when every node has one parent and no parent has one
         least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-        parents = least.select(F.col("u").alias("v"), F.col("m").alias("up"))
-        moved = edges.join(parents, "v", "left")
-        unsettled = moved.where("up is not null").limit(1).count() or least.where("c > 1").limit(1).count()
-        if not unsettled:
+        above = edges.select("v").distinct().join(least.select(F.col("u").alias("v")), "v", "left_semi")
+        if not (above.limit(1).count() or least.where("c > 1").limit(1).count()):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         # small star: each node's other parents hang on its least one
         low = least.select("u", "m")
         small = edges.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         # large star: each node's larger neighbours hang on the least of all its neighbours
+        small = cut(small)
         small_low = small.groupBy("u").agg(F.min("v").alias("m"))
-        large = small.join(small_low.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        large = _looked_up(small, small.count(), small_low.select(F.col("u").alias("v"), "m")).select("u", F.coalesce("m", "v").alias("v")).distinct()
         edges = cut(large)
 
 
@@ -253,131 +269,262 @@ def clusters(df: DataFrame, key: str = "doc_key", fingerprint: str = "_fingerpri
     return found.join(sizes, "root").select(F.col("node").alias(key), F.col("root").alias("cluster_key"))
 
 
-BLOCK = 20_000  #: rows of a component that are compared with as many at a time
-LOOSE = 0.5  #: a component of which no member is linked to this part is split
+BLOCK = 20_000  #: rows of a component that one task splits; of a larger one many tasks do
+LOOSE = 0.5  #: a component whose most typical member is not linked to this part of it is split
+
 
+def overlaps(w: np.ndarray, group: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bits that each row has in common with all rows of its group together, from the group's numbers of rows by bit."""
+    out = np.empty(len(w), np.float64)
+    for s in range(0, len(w), 4096):
+        flat = np.unpackbits(np.ascontiguousarray(w[s : s + 4096]).view(np.uint8), axis=1)
+        out[s : s + 4096] = np.einsum("ij,ij->i", flat, counts[group[s : s + 4096]], dtype=np.float64)
+    return out
 
-def _against(placed: DataFrame, words: int, threshold: float, total: int, best: bool) -> DataFrame:
-    """(key, m, n): of each row's linked rows of its component the number n, or with ``best`` the one (m = key, n = degree) that ranks first.
 
-    ``placed`` is (root, key, fp, degree, blocks). A component of several blocks is compared block by block, each pair of
-    blocks in a task of its own. Rank: degree, then the smaller key.
-    """
-    dtype = np.dtype([("cell", "<u8"), ("key", "<i8"), ("degree", "<i8"), ("side", "u1"), ("w", "<u8", (words,))])
-    targets = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK))
+def bit_counts(w: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """(groups, bits) rows with each bit, of groups of adjacent rows."""
+    out = np.empty((len(start), 64 * w.shape[1]), np.int64)
+    ends = np.r_[start[1:], len(w)]
+    g = 0
+    while g < len(start):
+        e = max(g + 1, int(np.searchsorted(ends, start[g] + 4096, side="right")))
+        out[g:e] = np.add.reduceat(np.unpackbits(np.ascontiguousarray(w[start[g] : ends[e - 1]]).view(np.uint8), axis=1), start[g:e] - start[g], axis=0, dtype=np.int64)
+        g = e
+    return out
+
+
+def typicality(pc: np.ndarray, common: np.ndarray, rows: np.ndarray, bits_set: np.ndarray) -> np.ndarray:
+    """Common bits over bits of either, each summed over all rows of the group: how near a row is to all others, in linear time."""
+    return common / (rows * pc + bits_set - common)
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+
+
+def around_medoids(w: np.ndarray, pc: np.ndarray, threshold: float) -> np.ndarray:
+    """Of each row, given by rank, the first row that no medoid before it is linked to and that it is linked to itself."""
+    medoid = np.full(len(w), -1)
+    left = np.arange(len(w))
+    while len(left):
+        top = left[0]
+        ok = verified(w, pc, left, np.full(len(left), top), threshold)
+        ok[0] = True
+        medoid[left[ok]] = top
+        left = left[~ok]
+    return medoid
+
+
+def _grouped(df: DataFrame, words: int, total: int, receive, schema: str) -> DataFrame:
+    """``receive(group, key, w)`` of whole groups of ``df`` (grp, key, fp); its rows are in order of group and key."""
+    dtype = np.dtype([("grp", "<i8"), ("key", "<i8"), ("w", "<u8", (words,))])
+    targets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w, ok = bits.words_of(batch["fp"], words)
-            if not ok.any():
-                continue
-            root, key, degree, blocks = (batch[c].to_numpy(zero_copy_only=False)[ok] for c in ("root", "key", "degree", "blocks"))
-            base = np.empty(len(key), dtype)
-            base["cell"], base["key"], base["degree"], base["side"], base["w"] = bits.mix(root.view(np.uint64)), key, degree, 3, w[ok]
-            parts = [base[blocks == 1]]
-            for b in np.unique(blocks[blocks > 1]):
-                some = base[blocks == b]
-                own = bits.mix(some["key"].view(np.uint64)) % np.uint64(b)
-                for other in range(int(b)):
-                    for side, i, j in ((1, own, np.uint64(other)), (2, np.uint64(other), own)):
-                        part = some.copy()
-                        part["cell"] = bits.mix(part["cell"] ^ bits.mix(i * np.uint64(b) + j + np.uint64(1)))
-                        part["side"] = np.where(own == other, 3 if side == 1 else 0, side)
-                        parts.append(part[part["side"] > 0])
-            records = np.concatenate(parts)
-            yield bits.blocks_batch(list(bits.split(records, (records["cell"] % np.uint64(targets)).astype(np.int64))))
+            records = np.empty(int(ok.sum()), dtype)
+            for c in ("grp", "key"):
+                records[c] = batch[c].to_numpy(zero_copy_only=False)[ok]
+            records["w"] = w[ok]
+            if len(records):
+                yield bits.blocks_batch(list(bits.split(records, (bits.mix(records["grp"].view(np.uint64)) % np.uint64(targets)).astype(np.int64))))
 
-    def receive(pid: int, records: np.ndarray) -> Iterator[pa.RecordBatch]:
-        records = records[np.argsort(records["cell"], kind="stable")]
-        cuts = np.flatnonzero(np.diff(records["cell"])) + 1
-        keys, ms, ns = [], [], []
-        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(records)]):
-            group = records[s:e]
-            group = group[np.lexsort((group["key"], -group["degree"]))]  # by rank
-            flat = np.unpackbits(np.ascontiguousarray(group["w"]).view(np.uint8).reshape(len(group), -1), axis=1).astype(np.float32)
-            size = flat.sum(axis=1)
-            left, right = np.flatnonzero(group["side"] & 1), np.flatnonzero(group["side"] & 2)
-            fr, sr = flat[right], size[right]
-            for a in range(0, len(left), 512):
-                rows = left[a : a + 512]
-                inter = (flat[rows] @ fr.T).astype(np.float64)
-                near = inter / (size[rows][:, None] + sr - inter) >= threshold
-                near &= rows[:, None] != right
-                keys.append(group["key"][rows])
-                if best:
-                    at, has = near.argmax(axis=1), near.any(axis=1)
-                    ms.append(np.where(has, group["key"][right[at]], -1))
-                    ns.append(np.where(has, group["degree"][right[at]], -1))
-                else:
-                    ms.append(np.zeros(len(rows), np.int64))
-                    ns.append(near.sum(axis=1))
-        if keys:
-            yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "m": np.concatenate(ms), "n": np.concatenate(ns).astype(np.int64)})
-
-    out = bits.exchange(placed.select("root", "key", "fp", "degree", "blocks"), send, targets, receive, dtype, "key long, m long, n long")
-    if best:
-        return out.where("n >= 0").groupBy("key").agg(F.max_by("m", F.struct("n", (-F.col("m")).alias("k"))).alias("m"), F.max("n").alias("n"))
-    return out.groupBy("key").agg(F.sum("n").alias("n"))
+    def run(_: int, records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        records = records[np.lexsort((records["key"], records["grp"]))]
+        yield from receive(np.ascontiguousarray(records["grp"]), np.ascontiguousarray(records["key"]), np.ascontiguousarray(records["w"]))
 
+    return bits.exchange(df.select("grp", "key", "fp"), send, targets, run, dtype, schema)
 
-def members(df: DataFrame, key: str = "doc_key", fingerprint: str = "_fingerprint_sim", threshold: float = 0.6, words: int = 8) -> DataFrame:
-    """(key, cluster_key, degree, medoid): every row with a fingerprint in its cluster, loose components split.
 
-    Medoids of a loose component are its rows by rank that no medoid before them is linked to; each other row goes to the
-    first medoid it is linked to. They are found in rounds, all rows that rank before their unassigned neighbours at once,
-    which gives the same medoids as taking one after the other. A cluster is named by its smallest key.
+def typical(df: DataFrame, words: int, total: int) -> DataFrame:
+    """(grp, key, score) of rows (grp, key, fp, size): by how much each is like all of its group, exactly.
+
+    A group of more than ``BLOCK`` rows isn't brought together: its rows by bit are summed, and each row meets the sums.
+    """
+
+    def small(grp: np.ndarray, key: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = _starts(grp)
+        many = np.diff(np.r_[start, len(grp)])
+        own = np.repeat(np.arange(len(start)), many)
+        pc = bits.popcount(w).astype(np.int64)
+        score = typicality(pc, overlaps(w, own, bit_counts(w, start)), many[own], np.add.reduceat(pc, start)[own])
+        yield pa.RecordBatch.from_pydict({"grp": grp, "key": key, "score": score})
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, _ = bits.words_of(batch["fp"], words)
+            grp = batch["grp"].to_numpy()
+            order = np.argsort(grp, kind="stable")
+            start = _starts(grp[order])
+            n = bit_counts(w[order], start)
+            g, b = np.nonzero(n)
+            yield pa.RecordBatch.from_pydict({"grp": grp[order][start][g], "bit": b, "n": n[g, b]})
+
+    def large(grp: int, rows: np.ndarray, extra: np.ndarray) -> Iterator[pa.RecordBatch]:
+        counts = np.ascontiguousarray(extra["w"][np.argsort(extra["key"])]).view(np.int64).reshape(1, -1)
+        w = np.ascontiguousarray(rows["w"])
+        pc = bits.popcount(w)
+        score = typicality(pc, overlaps(w, np.zeros(len(w), np.int64), counts), rows["size"], counts.sum())
+        yield pa.RecordBatch.from_pydict({"grp": rows["grp"], "key": rows["key"], "score": score})
+
+    schema = "grp long, key long, score double"
+    out = _grouped(df.where(F.col("size") <= BLOCK), words, total, small, schema)
+    big = df.where(F.col("size") > BLOCK)
+    if not big.limit(1).count():
+        return out
+    by_bit = big.select("grp", "fp").mapInArrow(counted, "grp long, bit long, n long").groupBy("grp", "bit").agg(F.sum("n").alias("n"))
+    # the sums travel as 64 rows of ``words`` numbers a group
+    every = big.select("grp", "size").distinct().withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(64 * words - 1)).cast("array<long>")))
+    sums = every.join(by_bit, ["grp", "bit"], "left").groupBy("grp", "size", F.floor(F.col("bit") / words).alias("key"))
+    sums = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("bit", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("fp"))
+    return out.unionByName(_blocked(big.withColumn("score", F.lit(0.0)), sums.withColumn("score", F.lit(0.0)), words, total, large, schema))
+
+
+def _blocked(df: DataFrame, extra: DataFrame, words: int, total: int, receive, schema: str) -> DataFrame:
+    """``receive(group, rows, extra)`` of blocks of large groups (grp, key, fp, score, size), with all of a group's ``extra`` rows in each."""
+    dtype = np.dtype([("grp", "<i8"), ("key", "<i8"), ("score", "<f8"), ("size", "<i8"), ("extra", "?"), ("w", "<u8", (words,))])
+    targets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            records = np.empty(batch.num_rows, dtype)
+            for c in ("grp", "key", "score", "size", "extra"):
+                records[c] = batch[c].to_numpy(zero_copy_only=False)
+            records["w"] = bits.words_of(batch["fp"], words)[0]
+            blocks = -(-records["size"] // BLOCK)
+            own = bits.mix(records["key"].view(np.uint64)) % blocks.astype(np.uint64)
+            copies = np.where(records["extra"], blocks, 1)
+            at = np.repeat(np.arange(len(records)), copies)
+            block = np.where(records["extra"][at], bits.ranges(copies).astype(np.uint64), own[at])
+            cell = bits.mix(bits.mix(records["grp"][at].view(np.uint64)) ^ bits.mix(block + np.uint64(1)))
+            if len(at):
+                yield bits.blocks_batch(list(bits.split(records[at], (cell % np.uint64(targets)).astype(np.int64))))
+
+    def run(_: int, records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        records = records[np.argsort(records["grp"], kind="stable")]
+        for some in np.split(records, _starts(records["grp"])[1:]):
+            rows, more = some[~some["extra"]], some[some["extra"]]
+            if len(rows):
+                # two blocks of a group may meet here, each with the extra rows
+                yield from receive(int(some["grp"][0]), rows, more[np.unique(more["key"], return_index=True)[1]])
+
+    columns = ["grp", "key", "fp", "score", "size"]
+    both = df.select(*columns, F.lit(False).alias("extra")).unionByName(extra.select(*columns, F.lit(True).alias("extra")))
+    return bits.exchange(both, send, targets, run, dtype, schema)
+
+
+def _split(df: DataFrame, threshold: float, words: int, total: int, loose: bool) -> DataFrame:
+    """(key, medoid) of whole groups (grp, key, fp) of ``BLOCK`` rows or less. ``loose``: those known to be so."""
+
+    def receive(grp: np.ndarray, key: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = _starts(grp)
+        many = np.diff(np.r_[start, len(grp)])
+        own = np.repeat(np.arange(len(start)), many)
+        pc = bits.popcount(w).astype(np.int64)
+        score = typicality(pc, overlaps(w, own, bit_counts(w, start)), many[own], np.add.reduceat(pc, start)[own])
+        order = np.lexsort((key, -score, own))
+        key, w, pc = key[order], np.ascontiguousarray(w[order]), pc[order]
+        top = start[own]
+        linked = verified(w, pc, np.arange(len(key)), top, threshold)
+        medoid = top.copy()
+        for g in np.flatnonzero((np.add.reduceat(linked, start, dtype=np.int64) < LOOSE * many) | loose):
+            s, e = start[g], start[g] + many[g]
+            medoid[s:e] = s + around_medoids(w[s:e], pc[s:e], threshold)
+        yield pa.RecordBatch.from_pydict({"key": key, "medoid": key[medoid]})
+
+    return _grouped(df, words, total, receive, "key long, medoid long")
+
+
+def _round(open_: DataFrame, threshold: float, words: int, total: int, turn: int) -> DataFrame:
+    """(grp, key, fp, score, size, medoid) after a round over large groups: each row's medoid, or null.
+
+    Candidates are the rows of best score by one MinHash value, 64 ``words`` of a group at most; those that no better
+    candidate is linked to are medoids, and each row goes to the best one that it is linked to.
+    """
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = minhash_table(range(turn, turn + 1), words, seed=13)
+        for batch in batches:
+            w, _ = bits.words_of(batch["fp"], words)
+            grp, key, score = (batch[c].to_numpy() for c in ("grp", "key", "score"))
+            v = minhash(w, table)[:, 0].astype(np.int64)
+            order = np.lexsort((key, -score, v, grp))
+            g, x = grp[order], v[order]
+            one = pa.array(order[np.r_[True, (g[1:] != g[:-1]) | (x[1:] != x[:-1])]] if len(order) else order)
+            yield pa.RecordBatch.from_arrays([*batch.take(one).columns, pa.array(v).take(one)], names=[*batch.schema.names, "v"])
+
+    rank = Window.partitionBy("grp", "v").orderBy(F.desc("score"), "key")
+    some = open_.select("grp", "key", "fp", "score", "size").mapInArrow(best, "grp long, key long, fp array<bigint>, score double, size long, v long")
+    some = some.withColumn("nth", F.row_number().over(rank)).where("nth = 1")
+
+    def assign(_: int, rows: np.ndarray, extra: np.ndarray) -> Iterator[pa.RecordBatch]:
+        extra = extra[np.lexsort((extra["key"], -extra["score"]))]
+        both = np.ascontiguousarray(np.concatenate([rows["w"], extra["w"]]))
+        pc = bits.popcount(both).astype(np.int64)
+        medoid, left, n = np.full(len(rows), -1), np.arange(len(rows)), len(rows)
+        for m in np.unique(around_medoids(both[n:], pc[n:], threshold)):
+            ok = verified(both, pc, left, np.full(len(left), n + m), threshold)
+            medoid[left[ok]] = extra["key"][m]
+            left = left[~ok]
+        fp_ = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * words, pa.int32()), pa.array(np.ascontiguousarray(rows["w"]).view(np.int64).reshape(-1)))
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[c])) for c in ("grp", "key", "score", "size")), fp_, pa.array(medoid, mask=medoid < 0)], names=["grp", "key", "score", "size", "fp", "medoid"])
+
+    return _blocked(open_, some, words, total, assign, "grp long, key long, score double, size long, fp array<bigint>, medoid long")
+
+
+def members(df: DataFrame, key: str = "doc_key", fingerprint: str = "_fingerprint_sim", threshold: float = 0.6, words: int = 8) -> DataFrame:
+    """(key, cluster_key, medoid, score): every row with a fingerprint in its cluster, loose components split.
+
+    Rank in a component: by typicality, which is a row's degree with each link weighed by how similar its ends are, summed
+    exactly over all members without forming pairs; then by key. The first row is the medoid; where it is linked to less
+    than ``LOOSE`` of the component, medoids are the rows that no medoid before them is linked to, and each other row goes
+    to the first one it is linked to. In components of more than ``BLOCK`` rows medoids are taken by the hundred, in rounds,
+    until ``BLOCK`` rows are left. A cluster is named by its smallest key; score is the typicality in the cluster. All steps
+    take time in proportion to the rows, but for the splitting of what one task holds (rows times medoids).
     """
-    spark = df.sparkSession
     df = df.select(F.col(key).cast("long").alias("key"), F.col(fingerprint).alias("fp")).where("key is not null and fp is not null")
-    df = df.where(F.exists("fp", lambda x: x != 0) & (F.size("fp") <= words)).groupBy("key").agg(F.first("fp").alias("fp"))
+    df = cut(df.where(F.exists("fp", lambda x: x != 0) & (F.size("fp") <= words)).groupBy("key").agg(F.first("fp").alias("fp")))
     found = cut(labels(df, "key", "fp", threshold, words))
-    sizes = found.groupBy("root").agg(F.count("*").alias("size"))
-    placed = df.join(found.select(F.col("node").alias("key"), "root"), "key").join(sizes, "root")
-    placed = cut(placed.select("root", "key", "fp", "size", F.lit(0).cast("long").alias("degree"), F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")))
+    sizes = found.groupBy(F.col("root").alias("grp")).agg(F.count("*").alias("size"))
+    placed = cut(df.join(found.select(F.col("node").alias("key"), F.col("root").alias("grp")), "key", "left").withColumn("grp", F.coalesce("grp", "key")).join(sizes, "grp", "left").withColumn("size", F.coalesce("size", F.lit(1))))
     total = placed.count()
-    degrees = cut(_against(placed, words, threshold, total, best=False))
-    placed = cut(placed.drop("degree").join(degrees.withColumnRenamed("n", "degree"), "key"))
-    tops = placed.groupBy("root").agg(F.max("degree").alias("top"), F.max_by("key", F.struct("degree", (-F.col("key")).alias("k"))).alias("first"))
-    placed = placed.join(tops, "root")
-    tight = placed.where(F.col("top") + 1 >= LOOSE * F.col("size")).select("key", "degree", F.col("first").alias("medoid"))
-    done = [tight]
-    left = cut(placed.where(F.col("top") + 1 < LOOSE * F.col("size")).select("root", "key", "fp", "degree", "blocks"))
-    chosen: list[DataFrame] = []
-    open_ = left
-    while open_.limit(1).count():
-        best = _against(open_, words, threshold, total, best=True)
-        ahead = open_.join(best, "key", "left")
-        first = F.col("n").isNull() | (F.col("n") < F.col("degree")) | ((F.col("n") == F.col("degree")) & (F.col("m") > F.col("key")))
-        medoids = cut(ahead.where(first).select("root", "key", "fp", "degree", "blocks"))
-        chosen.append(medoids)
-        # whoever a new medoid is linked to is no candidate any more
-        rest = open_.join(medoids.select("key"), "key", "left_anti")
-        marked = rest.withColumn("degree", F.lit(0).cast("long")).unionByName(medoids.withColumn("degree", F.lit(1).cast("long")))
-        taken = _against(marked.select("root", "key", "fp", "degree", "blocks"), words, threshold, total, best=True).where("n = 1").select("key")
-        open_ = cut(rest.join(taken, "key", "left_anti"))
-    if chosen:
-        medoids = chosen[0]
-        for m in chosen[1:]:
-            medoids = medoids.unionByName(m)
-        medoids = cut(medoids)
-        rest = left.join(medoids.select("key"), "key", "left_anti")
-        marked = rest.withColumn("degree", F.lit(-1).cast("long")).unionByName(medoids)
-        goes = _against(marked.select("root", "key", "fp", "degree", "blocks"), words, threshold, total, best=True).select("key", F.col("m").alias("medoid"))
-        done += [medoids.select("key", "degree", F.col("key").alias("medoid")), rest.select("key", "degree").join(goes, "key")]
-    alone = df.join(found.select(F.col("node").alias("key")), "key", "left_anti").select("key", F.lit(0).cast("long").alias("degree"), F.col("key").alias("medoid"))
-    out = alone
-    for d in done:
+    done = [_split(placed.where(F.col("size") <= BLOCK), threshold, words, total, False)]
+    big = placed.where(F.col("size") > BLOCK)
+    if big.limit(1).count():
+        scored = cut(big.join(typical(big, words, total).select("key", "score"), "key").select("grp", "key", "fp", "score", "size"))
+        rank = F.struct("score", (-F.col("key")).alias("k"))
+        tops = scored.groupBy("grp").agg(F.max(rank).alias("r")).select("grp", (-F.col("r.k")).alias("key"))
+        tops = tops.join(scored.select("key", F.col("fp").alias("top_fp")), "key").withColumnRenamed("key", "top")
+        near = fp.column(fp.tanimoto(fp.words_of("fp", words), fp.words_of("top_fp", words)))
+        degree = scored.join(tops, "grp").groupBy("grp", "top", "size").agg(F.count_if(near >= threshold).alias("degree"))
+        tight = degree.where(F.col("degree") >= LOOSE * F.col("size")).select("grp", "top")
+        open_ = cut(scored.join(tight, "grp", "left"))
+        done.append(open_.where("top is not null").select("key", F.col("top").alias("medoid")))
+        open_ = open_.where("top is null").drop("top")
+        turn = 0
+        while open_.limit(1).count():
+            after = cut(_round(open_, threshold, words, total, turn))
+            done.append(after.where("medoid is not null").select("key", "medoid"))
+            rest = after.where("medoid is null").drop("medoid")
+            few = rest.groupBy("grp").agg(F.count("*").alias("n"))
+            rest = cut(rest.join(few, "grp"))
+            done.append(_split(rest.where(F.col("n") <= BLOCK), threshold, words, total, True))
+            open_, turn = rest.where(F.col("n") > BLOCK).drop("n"), turn + 1
+    out = done[0]
+    for d in done[1:]:
         out = out.unionByName(d)
     out = cut(out)
-    names = out.groupBy("medoid").agg(F.min("key").alias("cluster_key"))
-    return out.join(names, "medoid").select(F.col("key").alias(key), "cluster_key", "degree", "medoid")
+    names = out.groupBy("medoid").agg(F.min("key").alias("cluster_key"), F.count("*").alias("size"))
+    named = cut(out.join(names, "medoid").join(df, "key"))
+    score = typical(named.select(F.col("cluster_key").alias("grp"), "key", "fp", "size"), words, total).select("key", "score")
+    return named.select("key", "cluster_key", "medoid", "size").join(score, "key").withColumnRenamed("key", key)
 
 
 def described(df: DataFrame, key: str = "doc_key", fingerprint: str = "_fingerprint_sim", threshold: float = 0.6, typical: int = 3, words: int = 8) -> DataFrame:
-    """(cluster_key, size, typical): every cluster with its size and its ``typical`` members of most neighbours."""
-    m = cut(members(df, key, fingerprint, threshold, words))
-    sizes = m.groupBy("cluster_key").agg(F.count("*").alias("size"))
-    rank = Window.partitionBy("cluster_key").orderBy(F.desc("degree"), key)
+    """(cluster_key, size, typical): every cluster with its size and its ``typical`` members that are most like all of it."""
+    m = members(df, key, fingerprint, threshold, words)
+    rank = Window.partitionBy("cluster_key").orderBy(F.desc("score"), key)
     top = m.withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= typical)  # cut to a few before the shuffle
-    top = top.groupBy("cluster_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.col(key).alias("k")))), lambda x: x["k"]).alias("typical"))
-    return sizes.join(top, "cluster_key")
+    return top.groupBy("cluster_key").agg(F.first("size").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("nth", F.col(key).alias("k")))), lambda x: x["k"]).alias("typical"))
