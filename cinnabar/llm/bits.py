@@ -181,3 +181,19 @@ def in_blocks(pid: int, part: np.ndarray, hot: dict[int, tuple[int, int]]) -> It
             some = part[(block == i) | (block == j)]
             if len(some):
                 yield base + i * b + j, some
+
+
+HUB = 100_000  #: rows of one group from which it is joined by itself
+
+
+def meet(df: DataFrame, groups: DataFrame, on: list[str], many: str, total: int) -> DataFrame:
+    """Inner join of rows with the groups they belong to, ``many`` being a group's number of rows and ``total`` all rows.
+
+    The largest groups, ten thousand at most, are sent to every task, so that none of them is brought to one.
+    """
+    most = max(HUB, total // 10_000)
+    if total <= most:
+        return df.join(groups, on)
+    hubs = groups.where(F.col(many) > most)  # at most total / most rows
+    rest = df.join(F.broadcast(hubs.select(*on)), on, "left_anti").join(groups.where(F.col(many) <= most), on)
+    return df.join(F.broadcast(hubs), on).unionByName(rest)

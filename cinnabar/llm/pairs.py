@@ -22,7 +22,7 @@ from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -240,22 +240,33 @@ def class_pairs(df: DataFrame, key: str, fingerprint: str, threshold: float, wor
     return bits.exchange(df, send, targets, receive, dtype, "a long, b long, similarity double").where("a < b")
 
 
-def classes(df: DataFrame, key: str, fingerprint: str) -> DataFrame:
-    """(fp, rep, copies): equal fingerprints, named by their smallest key."""
-    return df.where(F.col(fingerprint).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(fingerprint).alias("fp")).agg(F.min(key).alias("rep"), F.count("*").alias("copies"))
+SIDE_ROWS = 2000  #: copies of one side that meet those of another in one piece of work
 
 
 def pairs_across(df: DataFrame, key: str = "doc_key", fingerprint: str = "_fingerprint_sim", across: str = "_source", threshold: float = 0.8, words: int = 8) -> DataFrame:
-    """(key_a, key_b, similarity), key_a < key_b: all similar pairs of rows whose ``across`` is given and different."""
+    """(key_a, key_b, similarity), key_a < key_b: all similar pairs of rows whose ``across`` is given and different.
+
+    Copies with one value of ``across`` are a side of their class. Pairs of sides are found first; those of single rows are
+    done, the others are expanded in blocks, so that a class of many copies is work for many tasks, and none where all of
+    its rows have one value.
+    """
     df = df.select(F.col(key).cast("long").alias("key"), F.col(fingerprint).alias("fp"), F.col(across).alias("side")).where("key is not null and fp is not null and side is not null")
-    groups = cut(classes(df, "key", "fp"))
-    found = class_pairs(groups, "rep", "fp", threshold, words)
-    # a class of one row stands for itself; rows of larger classes are looked up by fingerprint
-    members = cut(df.join(groups, "fp").select("rep", "key", "side", "copies"))
-    one, two = members.select(F.col("rep").alias("a"), F.col("key").alias("ka"), F.col("side").alias("sa")), members.select(F.col("rep").alias("b"), F.col("key").alias("kb"), F.col("side").alias("sb"))
-    between = found.join(one, "a").join(two, "b").where("sa <> sb").select("ka", "kb", "similarity")
-    many = members.where("copies > 1")
-    nonzero = groups.where("copies > 1 and exists(fp, x -> x <> 0) and size(fp) <= %d" % words).select("rep")
-    many = many.join(nonzero, "rep")
-    within = many.select("rep", F.col("key").alias("ka"), F.col("side").alias("sa")).join(many.select("rep", F.col("key").alias("kb"), F.col("side").alias("sb")), "rep").where("ka < kb and sa <> sb").select("ka", "kb", F.lit(1.0).alias("similarity"))
-    return between.unionByName(within).select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"), "similarity")
+    by_class = Window.partitionBy("fp")
+    sides = df.groupBy("fp", "side").agg(F.min("key").alias("key"), F.count("*").alias("n"))
+    sides = cut(sides.withColumn("nth", F.row_number().over(by_class.orderBy("key", "side"))).withColumn("rep", F.min("key").over(by_class)).withColumn("sides", F.count("*").over(by_class)))
+    found = class_pairs(sides.where("nth = 1"), "rep", "fp", threshold, words)
+    own = sides.where(F.exists("fp", lambda x: x != 0) & (F.size("fp") <= words) & (F.col("sides") > 1)).where("nth = 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"))
+    one, two = (sides.select(F.col("rep").alias(c), F.col("key").alias(f"k{c}"), F.col("side").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+    met = cut(found.unionByName(own).join(one, "a").join(two, "b").where("sa <> sb and (a <> b or sa < sb)"))
+    single = met.where("na = 1 and nb = 1").select("ka", "kb", "similarity")
+    several = met.where("na > 1 or nb > 1")
+    if several.limit(1).count():
+        block = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / SIDE_ROWS)).cast("long")
+        total = sides.agg(F.sum("n")).first()[0]
+        rows = cut(bits.meet(df, sides.select("fp", "side", "rep", "n"), ["fp", "side"], "n", total).select("rep", "side", "key", block.alias("block")))
+        for c in "ab":
+            several = several.withColumn(f"i{c}", F.explode(F.sequence(F.lit(0), F.ceil(F.col(f"n{c}") / SIDE_ROWS) - 1).cast("array<long>")))
+        for c in "ab":
+            several = several.drop(f"k{c}").join(rows.select(F.col("rep").alias(c), F.col("side").alias(f"s{c}"), F.col("block").alias(f"i{c}"), F.col("key").alias(f"k{c}")), [c, f"s{c}", f"i{c}"])
+        single = single.unionByName(several.select("ka", "kb", "similarity"))
+    return single.where("ka <> kb").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"), "similarity")
