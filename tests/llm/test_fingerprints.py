@@ -75,6 +75,20 @@ def test_pairs_are_all_pairs(spark, monkeypatch, t, slices, hot):
     assert all(r["similarity"] == jaccard(by_key[r["key_a"]], by_key[r["key_b"]]) for r in got)
 
 
+@pytest.mark.parametrize("side", [2000, 3])
+def test_pairs_of_copies(spark, monkeypatch, side):
+    """Classes of many copies, of one source and of several, next to one another; each pair once."""
+    monkeypatch.setattr(pairs, "SIDE_ROWS", side)
+    monkeypatch.setattr(bits, "HUB", 10)
+    base = set(range(40))
+    rows = [(i, base, "a") for i in range(12)] + [(100 + i, base, "b" if i else "c") for i in range(5)] + [(200 + i, base ^ {300}, "a") for i in range(4)] + [(300 + i, set(range(200, 240)), "a") for i in range(20)]
+    rows += [(400, base ^ {301}, "d"), (401, base, None), (402, set(), "a"), (403, set(), "b")]
+    got = [(r["key_a"], r["key_b"]) for r in pairs.pairs_across(frame(spark, rows)).collect()]
+    source = {k: s for k, _, s in rows}
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b) for a, b in linked(rows, 0.8) if source[a] and source[b] and source[a] != source[b]}
+
+
 def test_pairs_of_nothing(spark):
     assert pairs.pairs_across(frame(spark, [])).count() == 0
     assert pairs.pairs_across(frame(spark, [(1, None, "a"), (2, set(), "b"), (3, set(), "a")])).count() == 0
@@ -123,13 +137,48 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 198, 199: 198, 198: 198}
 
 
-def test_reports_split_loose_clusters(spark):
+@pytest.mark.parametrize("block", [20_000, 5])
+def test_reports_split_loose_clusters(spark, monkeypatch, block):
+    monkeypatch.setattr(cluster, "BLOCK", block)
     core = set(range(60))
     rows = [(i, core ^ {100 + i}, "a") for i in range(1, 8)]
     chain = [(20 + i, set(range(200 + 8 * i, 260 + 8 * i)), "a") for i in range(8)]
     got = {r["cluster_key"]: r for r in cluster.described(frame(spark, rows + chain), typical=2).collect()}
     assert got[1]["size"] == 7 and got[1]["typical"][0] == 1
     assert sum(r["size"] for r in got.values()) == 15 and len(got) >= 3
+    assert cluster.described(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("block", [20_000, 6])
+def test_clusters_and_their_typical_members(spark, monkeypatch, block):
+    """Sizes, medoids and scores of all clusters against pairs taken one by one; clusters within components, singles included."""
+    monkeypatch.setattr(cluster, "BLOCK", block)
+    rows = [r for r in family_table(21, families=9, most=30, flips=26)]
+    by_key = {k: s for k, s, _ in rows if s}
+    got = {r["doc_key"]: r for r in cluster.members(frame(spark, rows)).collect()}
+    assert got.keys() == by_key.keys()
+    groups = {}
+    for k, r in got.items():
+        groups.setdefault(r["cluster_key"], set()).add(k)
+    whole = {k: r for r, g in brute_components(rows, 0.6).items() for k in g}
+    for name, own in groups.items():
+        assert name == min(own) and {got[k]["size"] for k in own} == {len(own)} and len({got[k]["medoid"] for k in own}) == 1
+        assert len({whole.get(k, k) for k in own}) == 1 or len(own) == 2
+        for k in own:
+            want = sum(len(by_key[k] & by_key[m]) for m in own) / sum(len(by_key[k] | by_key[m]) for m in own)
+            assert abs(got[k]["score"] - want) < 1e-12
+    # a split component's members are linked to their medoid, and no medoid to another one of the same block of work
+    for r, g in brute_components(rows, 0.6).items():
+        medoids = {got[k]["medoid"] for k in g}
+        if len(medoids) > 1:
+            assert all(k in medoids or jaccard(by_key[k], by_key[got[k]["medoid"]]) >= 0.6 for k in g)
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "HUB", 10)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 100) for i in range(1, 60)] + [(500, 400), (400, 300)]
+    got = {r["node"]: r["root"] for r in cluster.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(60)}, **{100 + i: 0 for i in range(1, 60)}, 500: 300, 400: 300, 300: 300}
 
 
 def brute_neighbours(rows, k, t):
