@@ -28,7 +28,6 @@ from . import bpe
 CAPACITY = 2048
 WINDOW = 64  #: containers of a window
 PARTITION = 2500  #: containers of a partition
-SOURCES = 1000  #: queues; more sources than that are put together by hash
 
 
 class Bins:
@@ -89,26 +88,25 @@ def fill(source: list, tokens: list[int], share: dict, owed: dict, capacity: int
 def pack(df: DataFrame, key: str = "doc_id", source: str = "source", tokens: str = "tokens", capacity: int = CAPACITY, shares: dict | None = None) -> DataFrame:
     """(key, piece, container, place, tokens): one row for each text, or for each piece of a text that had to be cut.
 
-    ``shares``: each source's part of the tokens; by default what it has in the table.
+    ``shares``: each source's part of the tokens, of any number of sources; by default what it has in the table. Sources
+    that aren't named get what the others leave.
     """
     items = cut(df.select(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("n")))
-    if items.select("source").distinct().limit(SOURCES + 1).count() > SOURCES:
-        items = items.withColumn("source", F.concat(F.lit("group "), F.pmod(F.xxhash64("source"), F.lit(SOURCES))))
-    sums = {r["source"]: r["n"] for r in items.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # at most SOURCES + 1 rows
-    total = sum(sums.values())
+    total = items.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // (capacity * PARTITION)))
     items = items.withColumn("pid", F.pmod(F.xxhash64("key", "n"), F.lit(parts)).cast("int"))
+    by = cut(items.groupBy("pid", "source").agg(F.sum("n").alias("n")))
     if shares is None:
-        shares = {s: n / (total or 1) for s, n in sums.items()}
+        wanted = by.groupBy(F.col("source").alias("of")).agg((F.sum("n") / max(total, 1)).alias("share"))
+    else:
+        wanted = df.sparkSession.createDataFrame([(s, float(v)) for s, v in shares.items()], "of string, share double")
     # what each partition's queues are owed at its start: targets so far less tokens so far
-    by = items.groupBy("pid", "source").agg(F.sum("n").alias("n"))
-    size = by.groupBy("pid").agg(F.sum("n").alias("size"))
-    wanted = F.array(*[F.struct(F.lit(s).cast("string").alias("source"), F.lit(float(v)).alias("share")) for s, v in shares.items()])
-    grid = size.select("pid", "size", F.inline(wanted)) if shares else size.select("pid", "size", F.lit(None).cast("string").alias("source"), F.lit(0.0).alias("share"))
-    before = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    left = grid.join(by, (grid["pid"] == by["pid"]) & grid["source"].eqNullSafe(by["source"]), "left").select(grid["pid"], grid["source"], "share", "size", F.coalesce("n", F.lit(0)).alias("n"))
-    owed = left.withColumn("owed", F.coalesce(F.sum(F.col("share") * F.col("size") - F.col("n")).over(before), F.lit(0.0))).select("pid", F.struct("source", "share", "owed").alias("s"))
-    owed = owed.groupBy("pid").agg(F.collect_list("s").alias("mix"))  # a row for each source
+    before = lambda w: w.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    size = by.groupBy("pid").agg(F.sum("n").alias("size")).withColumn("sizes", F.coalesce(F.sum("size").over(before(Window.partitionBy(F.lit(0)))), F.lit(0)))  # a row for each partition
+    owed = by.withColumn("had", F.coalesce(F.sum("n").over(before(Window.partitionBy("source"))), F.lit(0))).join(size, "pid")
+    owed = owed.join(wanted, owed["source"].eqNullSafe(wanted["of"]), "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    owed = owed.select("pid", F.struct("source", "share", (F.col("share") * F.col("sizes") - F.col("had")).alias("owed")).alias("s"))
+    owed = owed.groupBy("pid").agg(F.collect_list("s").alias("mix"))  # the sources that a partition has
     placed = items.select("pid", "key", "source", "n", F.lit(None).cast(owed.schema["mix"].dataType).alias("mix")).unionByName(owed.selectExpr("pid", "cast(null as long) key", "cast(null as string) source", "cast(null as long) n", "mix"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,10 +114,17 @@ def test_windows_keep_the_proportions():
         assert abs(w["small"] / (w["small"] + w["big"]) - share["small"]) < 0.06
 
 
-def test_many_sources_are_put_together(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SOURCES", 5)
-    df = spark.createDataFrame([(i, f"s{i}", 10) for i in range(50)], "doc_id long, source string, tokens int")
-    check_packing(packing.pack(df, capacity=64).collect(), {i: 10 for i in range(50)}, 64)
+def test_many_sources_keep_their_shares(spark, monkeypatch):
+    """Fifteen hundred sources, of which two are asked for in proportions that the table doesn't have."""
+    monkeypatch.setattr(packing, "PARTITION", 60)
+    rows = [(i, f"s{i % 1500}", 10) for i in range(3000)] + [(10_000 + i, "much", 16) for i in range(3000)] + [(20_000 + i, None, 16) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, tokens int")
+    got = packing.pack(df, capacity=64, shares={"much": 0.3, None: 0.1, **{f"s{i}": 0.6 / 1500 for i in range(1500)}}).collect()
+    check_packing(got, {k: n for k, _, n in rows}, 64)
+    # what was asked for most comes first, in every partition
+    source = {k: s for k, s, _ in rows}
+    early = [source[r["doc_id"]] for r in got if r["container"] & 0xFFFFFFFF < 20]
+    assert early.count("much") > 2 * early.count(None) > 0
 
 
 def test_packed_texts(spark):
