@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import splits
+from ..session import cut, splits, spread
 from . import bits
 
 SOURCE = 0.2
@@ -34,7 +34,7 @@ SCHEMA = "key long, side long, fp array<bigint>"
 
 def distance(w: np.ndarray, pc: np.ndarray, side: np.ndarray, some: np.ndarray, one: int) -> np.ndarray:
     """Distances of the rows ``some`` to row ``one``."""
-    inter = np.bitwise_count(w[some] & w[one]).sum(axis=1, dtype=np.int32)
+    inter = bits.ones(w[some] & w[one])
     union = pc[some] + pc[one] - inter
     j = np.where(union > 0, inter / np.maximum(union, 1), 1.0)  # two rows without a fingerprint are alike
     return (1 - SOURCE) * (1 - j) + SOURCE * (side[some] != side[one]) - CROWDING * np.maximum(0, j - NEAR) / (1 - NEAR)
@@ -54,34 +54,34 @@ def choose(key: np.ndarray, side: np.ndarray, w: np.ndarray, k: int) -> np.ndarr
     m = len(rows)
     if m == k:
         return rows
-    # farthest first
-    d = np.empty((k, m))
+    # farthest first; rows of distances are made anew when they are needed, so memory doesn't grow with k
+    to = np.zeros(m)
     chosen = np.empty(k, np.int64)
     at = int(bits.mix(key[rows].view(np.uint64)).argmin())
     nearest = np.full(m, np.inf)
     for i in range(k):
         chosen[i] = at
-        d[i] = distance(w, pc, side, rows, rows[at])
-        nearest = np.minimum(nearest, d[i])
+        d = distance(w, pc, side, rows, rows[at])
+        to += d
+        nearest = np.minimum(nearest, d)
         nearest[at] = -np.inf
         at = int(nearest.argmax())
     # swaps
     own = np.zeros(m, bool)
     own[chosen] = True
-    to = d.sum(axis=0)
     self_ = distance(w, pc, side, rows[:1], rows[0])[0]  # a row's distance to itself, the same for all
     grew = True
     while grew:
         grew = False
         for i in np.argsort(to[chosen], kind="stable"):  # each chosen row in turn, the one with the least sum first, for the best other one
-            after = to - d[i]
+            d = distance(w, pc, side, rows, rows[chosen[i]])
+            after = to - d
             after[own] = -np.inf
             j = int(after.argmax())
             if after[j] - (to[chosen[i]] - self_) <= 1e-9 * abs(to[chosen].sum()):
                 continue
             fresh = distance(w, pc, side, rows, rows[j])
-            to += fresh - d[i]
-            d[i] = fresh
+            to += fresh - d
             own[chosen[i]], own[j] = False, True
             chosen[i] = j
             grew = True
@@ -125,3 +125,38 @@ def subset(df: DataFrame, k: int = 200, key: str = "doc_key", fingerprint: str =
         to = F.lit(0) if parts == 1 else F.pmod(F.spark_partition_id(), F.lit(parts))
         found = core_sets(found.withColumn("to", to.cast("int")).repartitionById(parts, F.col("to")).drop("to"), k, words)
     return found.select(F.col("key").alias(key))
+
+
+
+def coverage(df: DataFrame, k: int = 200, key: str = "doc_key", fingerprint: str = "_fingerprint_sim", source: str = "_source", words: int = 8) -> DataFrame:
+    """(key, chosen, nearest, similarity): every row, whether it was chosen, and the chosen row most similar to it.
+
+    ``k`` fingerprints are sent to every task, no more. Rows without a fingerprint are similar to none: ``nearest`` is null.
+    Of equally similar ones the smaller key is named; rows with a null key are left out.
+    """
+    picked = cut(subset(df, k, key, fingerprint, source, words).select(F.col(key).alias("key")))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(fingerprint).alias("fp")).where("key is not null")
+    have = rows.join(F.broadcast(picked), "key").groupBy("key").agg(F.first("fp").alias("fp")).orderBy("key").toArrow()  # k rows
+    cw, ok = bits.words_of(have["fp"], words)
+    ck, every = have["key"].to_numpy(), set(have["key"].to_pylist())
+    cw, ck = cw[ok], ck[ok]
+    flat = np.unpackbits(np.ascontiguousarray(cw).view(np.uint8), axis=1).astype(np.float32)
+    size = flat.sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2048):
+                part = batch.slice(s, 2048)
+                w, ok = bits.words_of(part["fp"], words)
+                near, best = np.zeros(len(w), np.int64), np.zeros(len(w))
+                if len(ck) and len(w):
+                    own = np.unpackbits(np.ascontiguousarray(w).view(np.uint8), axis=1).astype(np.float32)
+                    inter = (own @ flat.T).astype(np.float64)
+                    similar = inter / (own.sum(axis=1)[:, None] + size - inter)
+                    at = similar.argmax(axis=1)
+                    near, best = ck[at], similar[np.arange(len(w)), at]
+                none = ~ok if len(ck) else np.ones(len(w), bool)
+                keys = part["key"].to_numpy()
+                yield pa.RecordBatch.from_pydict({"key": keys, "chosen": np.isin(keys, list(every)), "nearest": pa.array(near, mask=none), "similarity": pa.array(best, mask=none)})
+
+    return spread(rows).mapInArrow(run, "key long, chosen boolean, nearest long, similarity double").withColumnRenamed("key", key)

@@ -39,6 +39,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p1_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with the chosen one that stands for it."""
+    return diverse.coverage(table(spark, sf_dir, "molecules"), 200)
+
+
 @query
 def p1_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diverse.subset(table(spark, sf_dir, "molecules"), 200)

@@ -281,6 +281,24 @@ def test_subsets(spark):
         diverse.subset(frame(spark, rows), 0)
 
 
+def test_coverage(spark):
+    rows = family_table(4, families=10)
+    by_key = {k: s for k, s, _ in rows}
+    got = {r["doc_key"]: r for r in diverse.coverage(frame(spark, rows), 15).collect()}
+    chosen = {k for k, r in got.items() if r["chosen"]}
+    assert got.keys() == by_key.keys() and len(chosen) == 15
+    assert chosen == {r["doc_key"] for r in diverse.subset(frame(spark, rows), 15).collect()}
+    for k, r in got.items():
+        if by_key[k]:
+            best = max(jaccard(by_key[k], by_key[c]) for c in chosen)
+            assert r["similarity"] == best and r["nearest"] == min(c for c in chosen if jaccard(by_key[k], by_key[c]) == best)
+        else:
+            assert r["nearest"] is None and r["similarity"] is None
+    few = diverse.coverage(frame(spark, [(1, None, "a"), (2, set(), "b")]), 5).collect()
+    assert {(r["doc_key"], r["chosen"], r["nearest"]) for r in few} == {(1, True, None), (2, True, None)}
+    assert diverse.coverage(frame(spark, []), 5).count() == 0
+
+
 def test_swaps_only_gain():
     rng = np.random.default_rng(1)
     w = rng.integers(0, 2**63, (300, 8), dtype=np.uint64) & rng.integers(0, 2**63, (300, 8), dtype=np.uint64) & rng.integers(0, 2**63, (300, 8), dtype=np.uint64)
