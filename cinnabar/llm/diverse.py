@@ -29,6 +29,7 @@ NEAR = 0.5
 CROWDING = 20.0
 FAN_IN = 16
 BLOCK = 8192
+KEPT = 16_000_000  #: distances that a task keeps
 SCHEMA = "key long, side long, fp array<bigint>"
 
 
@@ -54,7 +55,8 @@ def choose(key: np.ndarray, side: np.ndarray, w: np.ndarray, k: int) -> np.ndarr
     m = len(rows)
     if m == k:
         return rows
-    # farthest first; rows of distances are made anew when they are needed, so memory doesn't grow with k
+    # farthest first; rows of distances are kept as far as they fit, and made anew when they are needed
+    kept: dict[int, np.ndarray] = {}
     to = np.zeros(m)
     chosen = np.empty(k, np.int64)
     at = int(bits.mix(key[rows].view(np.uint64)).argmin())
@@ -63,6 +65,8 @@ def choose(key: np.ndarray, side: np.ndarray, w: np.ndarray, k: int) -> np.ndarr
         chosen[i] = at
         d = distance(w, pc, side, rows, rows[at])
         to += d
+        if (i + 1) * m <= KEPT:
+            kept[i] = d
         nearest = np.minimum(nearest, d)
         nearest[at] = -np.inf
         at = int(nearest.argmax())
@@ -73,8 +77,8 @@ def choose(key: np.ndarray, side: np.ndarray, w: np.ndarray, k: int) -> np.ndarr
     grew = True
     while grew:
         grew = False
-        for i in np.argsort(to[chosen], kind="stable"):  # each chosen row in turn, the one with the least sum first, for the best other one
-            d = distance(w, pc, side, rows, rows[chosen[i]])
+        for i in np.argsort(to[chosen], kind="stable").tolist():  # each chosen row in turn, the one with the least sum first, for the best other one
+            d = kept[i] if i in kept else distance(w, pc, side, rows, rows[chosen[i]])
             after = to - d
             after[own] = -np.inf
             j = int(after.argmax())
@@ -82,6 +86,8 @@ def choose(key: np.ndarray, side: np.ndarray, w: np.ndarray, k: int) -> np.ndarr
                 continue
             fresh = distance(w, pc, side, rows, rows[j])
             to += fresh - d
+            if i in kept:
+                kept[i] = fresh
             own[chosen[i]], own[j] = False, True
             chosen[i] = j
             grew = True
