@@ -1,7 +1,8 @@
 """Delimited records that may be broken: typed columns for those that can be loaded, the reason for the others.
 
-A record is read by Python's strict csv reader, whose structural exceptions become reasons before any field is typed; the
-quotes it lets pass (within an unquoted field) are found by the record's grammar. ``reason`` is the first that applies of
+A record is put together from its physical lines by Python's strict csv reader, quotes being what holds lines together. The
+reader's structural exceptions become reasons before any field is typed; the quotes it lets pass (within an unquoted field)
+are found by the record's grammar. ``reason`` is the first that applies of
 ``quoting``, ``column_count`` and ``invalid_value``; null means loaded.
 
 Edge cases: a null line has no fields (``column_count``), an empty one has one; a null or unusable separator is a comma;
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import csv
 import datetime
+import io
 import math
 import re
 import sys
@@ -47,7 +49,7 @@ def fields(line: str | None, delim: str) -> list[str]:
         raise Unloadable("column_count")
     line = line.removesuffix("\r")
     try:
-        rows = list(csv.reader([line], delimiter=delim, strict=True))
+        rows = list(csv.reader(io.StringIO(line, newline=""), delimiter=delim, strict=True))
     except csv.Error as e:
         raise Unloadable("quoting") from e
     if len(rows) > 1 or not _grammar(delim).fullmatch(line):
@@ -126,25 +128,47 @@ def load(df: DataFrame, key: str = "raw_id", line: str = "line", delim: str | Co
     return spread(df).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def assemble(lines: DataFrame, file: str = "file_name", number: str = "line_no", text: str = "text", block: int = 100_000) -> DataFrame:
+LONGEST = 10_000  #: physical lines of a record
+
+
+def assemble(lines: DataFrame, file: str = "file_name", number: str = "line_no", text: str = "text", block: int = 100_000, columns: int | None = None, delim: str = ",") -> DataFrame:
     """(file, line_no, line): physical lines put together to records, by whether the quotes before a line are balanced.
 
     The quotes are counted in two steps, within blocks of lines and over blocks, so that a file of any length is spread
-    over tasks; a record is as many lines as it has. Null texts are empty lines.
+    over tasks; a record is as many lines as it has. With ``columns`` a line that is a whole record of so many fields by
+    itself always starts one, so that a stray quote spoils no more than the lines up to there. What would be more than
+    ``LONGEST`` lines is no record: its lines come out one by one. Null texts are empty lines; line numbers don't repeat
+    within a file.
     """
     df = lines.select(F.col(file).alias("f"), F.col(number).cast("long").alias("n"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     df = df.withColumn("q", F.length("t") - F.length(F.replace(F.col("t"), F.lit('"'), F.lit("")))).withColumn("b", F.floor(F.col("n") / block))
+    whole = F.lit(False)
+    if columns:
+        d = re.escape(delim)
+        one = rf'(?:"(?:[^"]|"")*+"|[^"{d}]*+)'
+        whole = F.col("t").rlike(rf"^{one}(?:{d}{one}){{{columns - 1}}}$")
     inside = Window.partitionBy("f", "b").orderBy("n")
-    blocks = df.groupBy("f", "b").agg(F.sum("q").alias("all"))
     over = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("f").alias("bf"), F.col("b").alias("bb"), F.coalesce(F.sum("all").over(over), F.lit(0)).alias("carry"))
-    df = df.withColumn("own", F.sum("q").over(inside) - F.col("q"))
-    df = df.join(blocks, df["f"].eqNullSafe(blocks["bf"]) & (df["b"] == blocks["bb"]))
-    df = df.withColumn("starts", ((F.col("own") + F.col("carry")) % 2 == 0).cast("int"))
-    # the number of a line's record: the last line at or before it that starts one
-    last = F.max(F.when(F.col("starts") == 1, F.col("n")))
-    ends = df.groupBy("f", "b").agg(last.alias("last"))
-    ends = ends.select(F.col("f").alias("ef"), F.col("b").alias("eb"), F.max("last").over(over).alias("from"))
-    df = df.withColumn("rec", last.over(inside)).join(ends, df["f"].eqNullSafe(ends["ef"]) & (df["b"] == ends["eb"])).withColumn("rec", F.coalesce("rec", "from"))
+
+    def carried(df: DataFrame, value: Column, name: str, total: bool) -> DataFrame:
+        """The sum of ``value`` before each line, or its last value at or before it, within blocks and over blocks."""
+        f = F.sum if total else F.max
+        own = f(value).over(inside) - value if total else f(value).over(inside)
+        blocks = df.groupBy("f", "b").agg(f(value).alias("all"))
+        blocks = blocks.select(F.col("f").alias("bf"), F.col("b").alias("bb"), f("all").over(over).alias("carry"))
+        df = df.withColumn(name, own).join(blocks, df["f"].eqNullSafe(F.col("bf")) & (df["b"] == F.col("bb")))
+        both = F.coalesce("carry", F.lit(0)) + F.col(name) if total else F.coalesce(name, "carry")
+        return df.withColumn(name, both).drop("bf", "bb", "carry")
+
+    df = carried(df, F.col("q"), "before", True).withColumn("whole", whole)
+    if columns:
+        df = carried(df, F.when(F.col("whole"), F.struct("n", "before")), "since", False)
+    else:
+        df = df.withColumn("since", F.lit(None).cast("struct<n:bigint,before:bigint>"))
+    starts = F.col("whole") | ((F.col("before") - F.coalesce("since.before", F.lit(0))) % 2 == 0)
+    df = carried(df.withColumn("starts", starts), F.when(F.col("starts"), F.col("n")), "rec", False)
+    # a record that never ends is no record
+    long = df.groupBy("f", "rec").agg(F.count("*").alias("c")).where(F.col("c") > LONGEST).select(F.col("f").alias("lf"), F.col("rec").alias("lr"))
+    df = df.join(long, df["f"].eqNullSafe(F.col("lf")) & (df["rec"] == F.col("lr")), "left").withColumn("rec", F.when(F.col("lr").isNull(), F.col("rec")).otherwise(F.col("n")))
     got = df.groupBy("f", "rec").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("parts"))
     return got.select(F.col("f").alias(file), F.col("rec").alias(number), F.array_join(F.col("parts.t"), "\n").alias("line"))

@@ -1,5 +1,7 @@
 import datetime
 
+import pytest
+
 from cinnabar.sources import records
 
 COLUMNS = "raw_id long, delim string, line string, reason string"
@@ -74,3 +76,23 @@ def test_assembled_lines(spark):
     for block in (1, 3, 100):
         got = {(r["file_name"], r["line_no"]): r["line"] for r in records.assemble(df, block=block).collect()}
         assert got == {("f", 0): 'a,"one\ntwo\nthree",b', ("f", 3): "c,d", ("f", 4): 'e,"f ""g\nh"', ("f", 6): "i", ("f", 7): 'j,"\n"', ("f", 9): "", ("g", 5): "x"}
+
+
+def test_a_stray_quote_spoils_only_what_is_next_to_it(spark, monkeypatch):
+    text = ['a,"one', 'two",b,c', 'd,e",f', "g,h,i", 'j,"k', 'l",m', "n,o,p", '"q,r,s', "t,u", "v,w,x"]
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "file_name string, line_no long, text string")
+    for block in (1, 4, 100):
+        got = {r["line_no"]: r["line"] for r in records.assemble(df, block=block, columns=3).collect()}
+        assert got == {0: 'a,"one\ntwo",b,c', 2: 'd,e",f', 3: "g,h,i", 4: 'j,"k\nl",m', 6: "n,o,p", 7: '"q,r,s\nt,u', 9: "v,w,x"}
+    monkeypatch.setattr(records, "LONGEST", 3)
+    open_ = spark.createDataFrame([("f", i, '"x' if i == 2 else "y,z") for i in range(9)], "file_name string, line_no long, text string")
+    assert {r["line_no"]: r["line"] for r in records.assemble(open_).collect()} == {i: '"x' if i == 2 else "y,z" for i in range(9)}
+
+
+def test_the_reader_itself_gives_the_reason(monkeypatch):
+    """Without the grammar the reader's own exceptions reject these, and put the last one together."""
+    monkeypatch.setattr(records, "_grammar", lambda d: records.re.compile("(?s).*"))
+    for line in ('a,"b"c', 'a,"b', "a\nb"):
+        with pytest.raises(records.Unloadable, match="quoting"):
+            records.fields(line, ",")
+    assert records.fields('a,"b\r\nc\rd",e', ",") == ["a", "b\r\nc\rd", "e"]
