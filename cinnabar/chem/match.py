@@ -2,7 +2,8 @@
 
 Backtracking over the query's atoms, each next to one already placed where there is one, the rarest element first. An atom
 goes on one of its element (or list, or on any), of the same aromaticity unless it is an end of the query, with the
-query's hydrogens; a bond on one of its kind. The match need not be induced.
+query's hydrogens; a bond on one of its kind. The match need not be induced. Mode ``auto`` is for symmetries: an atom goes
+on one of equal invariant, whatever the kinds of the bonds.
 """
 
 from __future__ import annotations
@@ -36,8 +37,18 @@ def _folded(m: g.Mol) -> tuple[list[int], list[int]]:
     return heavy, drawn
 
 
+def invariants(m: g.Mol) -> list[int]:
+    """A number for each atom, equal for atoms that a symmetry can exchange: its own features, then those of its neighbours, over and over."""
+    own = [hash((m.z[i], m.charge[i] + 16, m.isotope[i], len(m.near[i]))) for i in range(len(m))]
+    kinds = 0
+    while len(set(own)) > kinds:
+        kinds = len(set(own))
+        own = [hash((own[i], tuple(sorted(own[j] for j in m.near[i])))) for i in range(len(m))]
+    return own
+
+
 class Query:
-    """A query prepared for many targets. ``mode``: sub, exact (all atoms and bonds of the target) or auto (bond kinds don't matter)."""
+    """A query prepared for many targets. ``mode``: sub, exact (all atoms and bonds of the target) or auto (symmetries)."""
 
     def __init__(self, m: g.Mol, mode: str = "sub"):
         self.m, self.mode = m, mode
@@ -54,9 +65,20 @@ class Query:
             left.discard(order[-1])
         self.order = order
         self.back = [[j for j in self.near[i] if j in order[:n]] for n, i in enumerate(order)]
-
-    def find(self, t: g.Mol) -> Iterator[list[int | None]]:
-        """Places of the query's atoms in the target, one after the other; None for a hydrogen drawn at an atom."""
+        # atoms that differ in nothing but their names: (the other one, whether it is the later one) for those placed before
+        alike: dict[tuple, list[int]] = {}
+        for i in order:
+            bonds = tuple(sorted((j, m.kind(i, j)) for j in self.near[i]))
+            alike.setdefault((m.z[i], m.isotope[i], m.aromatic[i], m.choices[i], self.drawn[i], bonds), []).append(i)
+        twins = {i: [j for j in some if j != i] for some in alike.values() for i in some}
+        self.twins = [[(j, j > i) for j in twins[i] if j in order[:n]] for n, i in enumerate(order)]
+        self.invariants = invariants(m) if mode == "auto" else []
+
+    def find(self, t: g.Mol, once: bool = False) -> Iterator[list[int | None]]:
+        """Places of the query's atoms in the target, one after the other; None for a hydrogen drawn at an atom.
+
+        With ``once`` atoms that are alike (the fluorines of a CF3) are placed in one order only, not in all.
+        """
         m, exact, auto = self.m, self.mode == "exact", self.mode == "auto"
         heavy, drawn = _folded(t)
         if len(heavy) < len(self.heavy) or exact and len(heavy) != len(self.heavy):
@@ -66,10 +88,13 @@ class Query:
             return
         total = [(t.h[i] or 0) + drawn[i] for i in range(len(t))]
         keep = set(heavy)
+        same = invariants(t) if auto else []
         at: dict[int, int] = {}
         used: set[int] = set()
 
         def fits(q: int, x: int) -> bool:
+            if auto:
+                return self.invariants[q] == same[x] and all(at[j] in t.near[x] for j in self.near[q] if j in at)
             if m.choices[q]:
                 some, negated = m.choices[q]
                 if (t.z[x] in some) == negated:
@@ -85,13 +110,15 @@ class Query:
             for j in self.near[q]:
                 if j in at:
                     k = t.near[x].get(at[j])
-                    if k is None or not auto and t.bonds[k][2] not in _BONDS[m.kind(q, j)]:
+                    if k is None or t.bonds[k][2] not in _BONDS[m.kind(q, j)]:
                         return False
             return True
 
         def options(n: int) -> list[int]:
             back = self.back[n]
             pool = [x for x in t.near[at[back[0]]] if x in keep] if back else heavy
+            if once:
+                pool = [x for x in pool if all((x < at[j]) == later for j, later in self.twins[n])]
             return [x for x in pool if x not in used and fits(self.order[n], x)]
 
         stack = [iter(options(0))] if self.order else []
@@ -121,7 +148,7 @@ class Query:
     def all(self, t: g.Mol, unique: bool = True, visit: Callable[[list], bool] | None = None) -> list[list[int | None]]:
         """All places, or with ``unique`` one for each set of target atoms. ``visit`` may return False to end the search."""
         out, seen = [], set()
-        for hit in self.find(t):
+        for hit in self.find(t, once=unique):
             key = frozenset(x for x in hit if x is not None)
             if unique and key in seen:
                 continue

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textquery
+
 _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _WHOLE = r"^[+-]?[0-9]+$"
 _RANGE = re.compile(r"(-?[0-9]*\.?[0-9]*):(-?[0-9]*\.?[0-9]*)")
@@ -28,9 +30,17 @@ def numeric(df: DataFrame, name: str, kind: str) -> Column:
 
 
 def term(df: DataFrame, name: str, value: str) -> Column:
+    """A term as it is indexed: the whole value of a stored field (its name begins with ``_``) or number, one word of an analysed text.
+
+    The value is no text to analyse: capital letters and stop words find nothing in an analysed field.
+    """
     if name in df.columns:
-        return F.col(name).cast("string") == value
-    return F.try_element_at("props", F.lit(name)) == value
+        text = F.col(name)
+        if name.startswith("_") or dict(df.dtypes)[name] != "string":
+            return text.cast("string") == value
+    else:
+        text = F.try_element_at("props", F.lit(name))
+    return F.array_contains(textquery.tokens(text), value)
 
 
 def between(x: Column, lo: float | None = None, hi: float | None = None, lo_inc: bool = True, hi_inc: bool = True) -> Column:

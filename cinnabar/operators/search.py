@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..chem import fingerprints, match, molfile
 from ..functions import fingerprint as fp
@@ -76,14 +77,17 @@ def substructure(df: DataFrame, query: str, most: int | None = None, *filters: C
     df = df.where(all_of(F.col(structure).isNotNull(), *filters))
     if screen:
         df = containment(df, fingerprints.paths(q), screen)
-    # only key and structure go to Python; the rest is joined back by key
-    schema = f"{key} {dict(df.dtypes)[key]}, similarity double, hits array<{'array<int>' if all_hits else 'int'}>"
+    # rows pass whole, so that hits needn't be joined to their columns again
+    df = df.drop("similarity", "hits")
+    hits_type = T.ArrayType(T.ArrayType(T.IntegerType())) if all_hits else T.ArrayType(T.IntegerType())
+    schema = T.StructType([*df.schema, T.StructField("similarity", T.DoubleType()), T.StructField("hits", hits_type)])
+    at = df.columns.index(structure)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.list_(pa.int32())) if all_hits else pa.list_(pa.int32())
         for batch in batches:
-            keys, sims, hits = [], [], []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows, sims, hits = [], [], []
+            for n, text in enumerate(batch.column(at).to_pylist()):
                 try:
                     t = match.prepared(molfile.read(text))
                 except ValueError:
@@ -92,16 +96,16 @@ def substructure(df: DataFrame, query: str, most: int | None = None, *filters: C
                 if not found:
                     continue
                 one = lambda h: [None if x is None else x + 1 for x in h]
-                keys.append(k)
+                rows.append(n)
                 hits.append([one(h) for h in found] if all_hits else one(found))
                 own = fingerprints.similarity_fingerprint(t)
                 a, b = ([w & (1 << 64) - 1 for w in x] for x in (own, mine))
                 either = sum((x | y).bit_count() for x, y in zip(a, b))
                 sims.append(sum((x & y).bit_count() for x, y in zip(a, b)) / either if either else None)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(sims, pa.float64()), pa.array(hits, kind)], names=[key, "similarity", "hits"])
+            found = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(sims, pa.float64()), pa.array(hits, kind)], names=[*found.schema.names, "similarity", "hits"])
 
-    found = spread(df.select(key, structure)).mapInArrow(run, schema)
-    out = df.drop("similarity", "hits").join(found, key)
+    out = spread(df).mapInArrow(run, schema)
     out = out.orderBy(F.desc("similarity"), *([F.asc_nulls_last("_natoms")] if "_natoms" in df.columns else []), key)
     return out.limit(most) if most and most > 0 else out
 
@@ -145,11 +149,20 @@ def substructure_join(df: DataFrame, queries: DataFrame, key: str = "doc_key", s
     """(query key, key, hits) for every query of a batch against all rows; queries that can't be parsed find nothing.
 
     Each structure is parsed once, and its path fingerprint screens the queries before any is matched. The batch goes to
-    every task, so its size is checked.
+    every task, so its size is checked; a larger one is taken in parts of that size, each in a pass of its own. Queries are
+    read when this is called.
     """
-    texts = [(r[0], r[1]) for r in queries.select(F.col(query_key).cast("long"), query).where(F.col(query).isNotNull()).limit(BROADCAST_ROWS + 1).collect()]
-    if len(texts) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} queries at once; split the batch")
+    own = queries.select(F.col(query_key).cast("long").alias("k"), F.col(query).alias("q")).where("q is not null")
+    parts = max(1, -(-own.count() // BROADCAST_ROWS))
+    out = None
+    for part in range(parts):
+        texts = [(r["k"], r["q"]) for r in own.where(F.pmod(F.xxhash64("k", "q"), F.lit(parts)) == part).collect()]
+        found = _matched(df, texts, key, structure, query_key)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _matched(df: DataFrame, texts: list[tuple[int, str]], key: str, structure: str, query_key: str) -> DataFrame:
     schema = f"{query_key} long, {key} {dict(df.dtypes)[key]}, hits array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

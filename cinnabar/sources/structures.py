@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..chem import fingerprints, graph, match, molfile, smiles
@@ -24,6 +24,16 @@ def source_name(path: str) -> str:
     return name[:at] if at > 0 else name
 
 
+def source_of(file: Column) -> Column:
+    """``source_name`` as a column."""
+    return F.regexp_replace(file, r"(?<=.)\.[^.]*$", "")
+
+
+def record_id(*given: Column, number: Column) -> Column:
+    """The first name that isn't blank, else the record's number in ten digits."""
+    return F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in given], F.lpad(number.cast("string"), 10, "0"))
+
+
 def _row(ident, source, text, props) -> tuple:
     try:
         m = molfile.read(text)
@@ -67,17 +77,15 @@ def read_sd(spark: SparkSession, path: str, id_field: str | None = None) -> Data
     Files are split between records by the text source itself, so one large file is read by many tasks.
     """
     df = spark.read.option("lineSep", "$$$$\n").text(path).where(F.trim(F.translate("value", "\r\n", "")) != "").select(F.regexp_replace("value", "^\r?\n", "\n").alias("structure"), F.col("_metadata.file_name").alias("file"))
-    title = F.nullif(F.trim(F.split("structure", "\n")[0]), F.lit(""))
-    chosen = F.nullif(F.trim(F.regexp_extract("structure", rf">[^\n]*<{id_field}>[^\n]*\n([^\n]*)", 1)), F.lit("")) if id_field else F.lit(None)
-    number = F.lpad((F.monotonically_increasing_id() + 1).cast("string"), 10, "0")
-    return df.select(F.coalesce(chosen, title, number).alias("id"), F.regexp_replace("file", r"(?<=.)\.[^.]*$", "").alias("source"), F.concat("structure", F.lit("$$$$\n")).alias("structure"))
+    title = F.split("structure", "\n")[0]
+    chosen = [F.regexp_extract("structure", rf">[^\n]*<{id_field}>[^\n]*\n([^\n]*)", 1)] if id_field else []
+    return df.select(record_id(*chosen, title, number=F.monotonically_increasing_id() + 1).alias("id"), source_of(F.col("file")).alias("source"), F.concat("structure", F.lit("$$$$\n")).alias("structure"))
 
 
 def read_smiles(spark: SparkSession, path: str) -> DataFrame:
     """(id, source, structure) of files with a SMILES and a name on each line."""
     df = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+", 2).alias("p"), F.col("_metadata.file_name").alias("file"))
-    number = F.lpad((F.monotonically_increasing_id() + 1).cast("string"), 10, "0")
-    return df.select(F.coalesce(F.get("p", F.lit(1)), number).alias("id"), F.regexp_replace("file", r"(?<=.)\.[^.]*$", "").alias("source"), F.get("p", F.lit(0)).alias("structure"))
+    return df.select(record_id(F.get("p", F.lit(1)), number=F.monotonically_increasing_id() + 1).alias("id"), source_of(F.col("file")).alias("source"), F.get("p", F.lit(0)).alias("structure"))
 
 
 def as_text(df: DataFrame, kind: str = "smiles", structure: str = "_molfile", out: str = "text") -> DataFrame:
@@ -99,6 +107,36 @@ def as_text(df: DataFrame, kind: str = "smiles", structure: str = "_molfile", ou
     return df.withColumn(out, convert(F.col(structure)))
 
 
+def as_tables(df: DataFrame, key: str = "doc_key", structure: str = "_molfile") -> tuple[DataFrame, DataFrame]:
+    """(key, i, symbol, aromatic) and (key, a, b, kind) of all atoms and bonds of structures that can be parsed, atoms from 1.
+
+    Hydrogens that aren't drawn are in neither; ``kind`` is 1 to 3, or 4 where electrons are shared.
+    """
+    kind = dict(df.dtypes)[key]
+    graph_type = f"{key} {kind}, atoms array<struct<i:int,symbol:string,aromatic:boolean>>, bonds array<struct<a:int,b:int,kind:int>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        atom = pa.list_(pa.struct([("i", pa.int32()), ("symbol", pa.string()), ("aromatic", pa.bool_())]))
+        bond = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("kind", pa.int32())]))
+        for batch in batches:
+            for s in range(0, batch.num_rows, 500):
+                part = batch.slice(s, 500)
+                rows, atoms, bonds = [], [], []
+                for n, text in enumerate(part.column(1).to_pylist()):
+                    try:
+                        m = match.prepared(molfile.read(text))
+                    except ValueError:
+                        continue
+                    rows.append(n)
+                    atoms.append([{"i": i + 1, "symbol": m.symbol(i), "aromatic": bool(m.aromatic[i])} for i in range(len(m))])
+                    bonds.append([{"a": a + 1, "b": b + 1, "kind": k} for a, b, k in m.bonds])
+                keys = part.column(0).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(atoms, atom), pa.array(bonds, bond)], names=[key, "atoms", "bonds"])
+
+    graphs = spread(df.where(F.col(structure).isNotNull()).select(key, structure)).mapInArrow(run, graph_type)
+    return graphs.select(key, F.inline("atoms")), graphs.select(key, F.inline("bonds"))
+
+
 def write_tsv(df: DataFrame, path: str, extra: list[str] | None = None) -> None:
     """Results as tab-separated SMILES, id, source, similarity to three places, and further fields."""
     df = as_text(df, "smiles", out="#STRUCTURE")

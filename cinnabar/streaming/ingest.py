@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.store import Store
+from ..sources.structures import source_of
 
 
 def watch_smiles(spark: SparkSession, path: str) -> DataFrame:
     """(id, source, structure) of SMILES files as they appear in a folder."""
     df = spark.readStream.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+", 2).alias("p"), F.col("_metadata.file_name").alias("file"))
-    return df.select(F.coalesce(F.get("p", F.lit(1)), F.get("p", F.lit(0))).alias("id"), F.regexp_replace("file", r"(?<=.)\.[^.]*$", "").alias("source"), F.get("p", F.lit(0)).alias("structure"))
+    return df.select(F.coalesce(F.get("p", F.lit(1)), F.get("p", F.lit(0))).alias("id"), source_of(F.col("file")).alias("source"), F.get("p", F.lit(0)).alias("structure"))
 
 
 def into_store(df: DataFrame, store: Store, checkpoint: str, every: str = "2 seconds", once: bool = False) -> StreamingQuery:

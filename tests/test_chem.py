@@ -172,3 +172,31 @@ def test_blocks():
     assert validate.is_structure(good) and validate.is_structure(good.replace("\n", "\r\n")) and validate.is_structure(good + "\n")
     for bad in (good.replace("V2000", "V3000"), good.replace(" O  ", " Xx "), good.replace("M  END", ""), good.replace("  1  2  1", "  1  3  1"), good.replace("  1  2  1", "  1  2  9"), good.replace("  2  1  0", "  3  1  0"), good + "\nmore"):
         assert not validate.is_structure(bad)
+
+
+def test_symmetries_exchange_atoms_of_equal_invariant():
+    toluene = mol("Cc1ccccc1")
+    inv = match.invariants(toluene)
+    assert inv[2] == inv[6] and inv[3] == inv[5] and len(set(inv)) == 5
+    q = match.Query(toluene, "auto")
+    assert sorted(q.all(toluene, unique=False)) == [[0, 1, 2, 3, 4, 5, 6], [0, 1, 6, 5, 4, 3, 2]]
+    # an element alone doesn't make atoms exchangeable
+    assert len(match.Query(mol("CCC(C)C"), "auto").all(mol("CCC(C)C"), unique=False)) == 2
+
+
+def test_unique_matches_don_t_walk_every_order():
+    target = mol("FC(F)(F)C(C(F)(F)F)(C(F)(F)F)C(F)(F)F")
+    calls = 0
+
+    def visit(hit):
+        nonlocal calls
+        calls += 1
+        return True
+
+    q = match.Query(mol("FC(F)F"))
+    assert len(q.all(target, visit=visit)) == 4 and calls == 4
+    assert sum(1 for _ in q.find(target, once=True)) == 4 and sum(1 for _ in q.find(target)) == 24
+    for text in ("CC(C)C", "OC(=O)C", "c1ccccc1", "NCCN"):
+        for other in ("CC(C)(C)C(C)C", "OC(=O)CC(=O)O", "c1ccc2ccccc2c1", "NCCNCCN"):
+            a, b = match.Query(mol(text)), mol(other)
+            assert {frozenset(h) for h in a.find(b)} == {frozenset(h) for h in a.find(b, once=True)}

@@ -135,10 +135,10 @@ def test_windows_lose_nothing():
 
 
 def test_filter_language(spark):
-    df = spark.createDataFrame([(1, 5, {"x": "2.5", "y": "7"}), (2, 9, {"x": "a", "y": "9"}), (3, None, None)], "doc_key long, n int, props map<string,string>")
+    df = spark.createDataFrame([(1, 5, {"x": "2.5", "y": "7"}), (2, 9, {"x": "Pyridine ring", "y": "9"}), (3, None, None)], "doc_key long, n int, props map<string,string>")
     find = lambda f, v: [r["doc_key"] for r in df.where(p.parse_filter(df, f, v)).orderBy("doc_key").collect()]
     assert find("n", "=5") == [1] and find("n", "5:9") == [1, 2] and find("n", ":8") == [1] and find("n", "6:") == [2]
-    assert find("x", "1:2.5") == [1] and find("x", "a") == [2] and find("y", "=7") == [1] and find("y", "=7.0") == [1] and find("x", ":") == [1]
+    assert find("x", "1:2.5") == [1] and find("x", "pyridine") == find("x", "ring") == [2] and find("x", "Pyridine") == find("x", "pyridine ring") == [] and find("y", "=7") == [1] and find("y", "=7.0") == [1] and find("x", ":") == [1]
     with pytest.raises(p.BadFilter):
         p.parse_filter(df, "n", "9:5")
     with pytest.raises(p.BadFilter):
