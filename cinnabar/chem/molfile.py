@@ -88,10 +88,13 @@ def write(m: g.Mol, kekule: bool = True) -> str:
         raise g.BadStructure("too many atoms for V2000")
     kinds = g.kekulized(m) if kekule else [k for _, _, k in m.bonds]
     out = [m.name, "  cinnabar", "", f"{len(m):3d}{len(m.bonds):3d}  0  0  0  0  0  0  0  0999 V2000"]
+    usual = g.Mol(z=m.z, charge=m.charge, aromatic=[not kekule and a for a in m.aromatic], h=[None] * len(m), choices=m.choices, bonds=[(a, b, k) for (a, b, _), k in zip(m.bonds, kinds)], near=m.near)
+    g.fill_hydrogens(usual)
     for i in range(len(m)):
         symbol = "L" if m.choices[i] else "A" if not m.z[i] else m.symbol(i)
-        shared = not kekule and m.z[i] != 6 and m.h[i] and any(kinds[k] == g.AROMATIC for k in m.near[i].values())
-        out.append(f"{1.5 * (i % 8):10.4f}{1.3 * (i // 8):10.4f}{0:10.4f} {symbol:<3s} 0  0  0{m.h[i] + 1 if shared else 0:3d}  0  0  0  0  0  0  0  0")
+        # hydrogens that don't follow from the bonds are counted, one more than there are
+        told = (m.h[i] or 0) != usual.h[i] or not kekule and m.z[i] != 6 and m.h[i] and any(kinds[k] == g.AROMATIC for k in m.near[i].values())
+        out.append(f"{1.5 * (i % 8):10.4f}{1.3 * (i // 8):10.4f}{0:10.4f} {symbol:<3s} 0  0  0{(m.h[i] or 0) + 1 if told else 0:3d}  0  0  0  0  0  0  0  0")
     out += [f"{a + 1:3d}{b + 1:3d}{k:3d}  0" for (a, b, _), k in zip(m.bonds, kinds)]
     for tag, values in (("CHG", m.charge), ("ISO", m.isotope)):
         some = [(i + 1, v) for i, v in enumerate(values) if v]

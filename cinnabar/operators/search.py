@@ -134,13 +134,11 @@ def text(df: DataFrame, query: str | None, most: int | None = None, *filters: Co
         return out.limit(most) if most and most > 0 else out
     fields = fields or text_fields(df)
     parser = textquery.Parser(fields, keyword=frozenset({"_id", "_source", "_formula", "_fields", "_codebook"}))
-    hit = df.where(parser(query))
-    words = [w for k, w in parser.lexed if k == "word" and w.isalnum() and w not in ("AND", "OR", "NOT")]
-    if words:
-        scores = textquery.scored(df, fields["text"], words, key)
-        hit = hit.join(scores, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    else:
-        hit = hit.withColumn("score", F.lit(0.0))
+    tree = parser.tree(query)
+    # fields that the leaves name, made once
+    used = {x.field: fields[x.field] for x in tree.leaves() if x.words and x.field in fields}
+    scores = textquery.relevance(df, tree.leaves(), used, key)
+    hit = df.where(F.coalesce(tree.hit, F.lit(False))).join(scores, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     hit = hit.orderBy(F.desc("score"), key)
     return hit.limit(most) if most and most > 0 else hit
 

@@ -11,8 +11,9 @@ from ..functions import fingerprint as fp
 from ..functions import predicates as p
 from ..functions import textquery
 from ..operators import aggregates, codebook, search
-from ..session import spread, table
-from ..sources import records, store
+from ..session import cut, scratch, spread, table
+from ..sources import records, store, structures
+from . import structure_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,15 +102,36 @@ def _code_sql(book: list[int]) -> str:
     return "(" + " + ".join(f"{1 << i} * {_bit_sql(b)}" for i, b in enumerate(book)) + ")"
 
 
-@query(f"SELECT doc_key, {_code_sql(BOOKS[0])} AS code FROM molecules WHERE _fingerprint_sim IS NOT NULL AND ({_code_sql(BOOKS[0])} & {codebook.code_of(ONE, BOOKS[0])}) = {codebook.code_of(ONE, BOOKS[0])}")
+@query(f"SELECT doc_key FROM molecules WHERE _fingerprint_sim IS NOT NULL AND {_COMMON.format(a='_fingerprint_sim', b=_sql_list(FEW))} = {sum(bin(w & (1 << 64) - 1).count('1') for w in FEW)}")
 def codebook_screen(spark, d):
+    """Containment by way of the cheapest of all codebooks for this query."""
+    return codebook.screened(molecules(spark, d), BOOKS, FEW).select("doc_key")
+
+
+@query(f"SELECT doc_key, {_code_sql(BOOKS[0])} AS code FROM molecules WHERE _fingerprint_sim IS NOT NULL AND ({_code_sql(BOOKS[0])} & {codebook.code_of(ONE, BOOKS[0])}) = {codebook.code_of(ONE, BOOKS[0])}")
+def codebook_codes(spark, d):
     out = codebook.screen(molecules(spark, d), BOOKS[0], ONE)
     return out.select("doc_key", F.expr(codebook.code("_fingerprint_sim", BOOKS[0])).alias("code"))
 
 
-@query(" UNION ALL ".join(f"SELECT {i} AS book, {_code_sql(b)} AS code, count(*) AS count FROM molecules WHERE _fingerprint_sim IS NOT NULL GROUP BY 2" for i, b in enumerate(BOOKS[:8])))
+_COUNTS_SQL = (
+    "WITH books AS (SELECT unnest([" + ", ".join(f"{{'book': {i}, 'bits': {b}}}" for i, b in enumerate(BOOKS)) + "], recursive := true)) "
+    "SELECT book, list_sum(list_transform(bits, lambda x, i: (CASE WHEN x % 64 = 63 THEN _fingerprint_sim[x // 64 + 1] < 0 ELSE _fingerprint_sim[x // 64 + 1] & (1::BIGINT << (x % 64)) <> 0 END)::INT * (1 << (i - 1))))::INT AS code, count(*) AS count "
+    "FROM molecules, books WHERE _fingerprint_sim IS NOT NULL GROUP BY 1, 2"
+)
+
+
+@query(_COUNTS_SQL)
 def codebook_counts(spark, d):
-    return codebook.counts(molecules(spark, d), BOOKS[:8])
+    return codebook.counts(molecules(spark, d), BOOKS)
+
+
+@query(_COUNTS_SQL)
+def codebooks_kept(spark, d):
+    """The counters of all codebooks, written with them and read again."""
+    path = scratch(spark)
+    codebook.save(codebook.counts(molecules(spark, d), BOOKS), BOOKS, path)
+    return codebook.load(spark, path)[1]
 
 
 @query(f"WITH t AS (SELECT {_COMMON.format(a='_fingerprint_sim', b=_sql_list(FEW[:1] + [0] * 7))} = {bin(FEW[0] & (1 << 64) - 1).count('1')} AS ok FROM molecules) SELECT count_if(ok) AS hits, count(*) AS total, 1 - count_if(ok) / count(*)::DOUBLE AS efficiency FROM t")
@@ -127,6 +149,15 @@ def term_filter(spark, d):
     return m.where(p.term(m, "_source", "lagoon")).select("doc_key", "_id")
 
 
+_TOKENS_SQL = "list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND len(x) <= 255)"
+
+
+@query(f"SELECT doc_key FROM molecules WHERE list_contains({_TOKENS_SQL.format(x='name')}, 'acid')")
+def term_of_analysed_field(spark, d):
+    m = molecules(spark, d)
+    return m.where(p.term(m, "name", "acid")).select("doc_key")
+
+
 _WHOLE_SQL = "CASE WHEN regexp_full_match(props['{k}'], '[+-]?[0-9]+') THEN try_cast(props['{k}'] AS {t}) END"
 _DOUBLE_SQL = "CASE WHEN regexp_full_match(props['{k}'], '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(props['{k}'] AS DOUBLE) END"
 
@@ -226,14 +257,14 @@ def popcount_window(spark, d):
     return molecules(spark, d).where("_fingerprint_sim is not null").where(fp.in_window(fp.bits_of(fp.words_of("_fingerprint_sim")), 65, 0.8)).select("doc_key")
 
 
-@query("SELECT doc_key, coalesce(name, lpad(doc_key::VARCHAR, 10, '0')) AS record_id, props['prop1'] AS prop1 FROM molecules")
+@query("SELECT doc_key, coalesce(nullif(trim(name), ''), lpad(doc_key::VARCHAR, 10, '0')) AS record_id, props['prop1'] AS prop1 FROM molecules")
 def record_ids_and_property(spark, d):
-    return molecules(spark, d).select("doc_key", F.coalesce("name", F.lpad(F.col("doc_key").cast("string"), 10, "0")).alias("record_id"), F.try_element_at("props", F.lit("prop1")).alias("prop1"))
+    return molecules(spark, d).select("doc_key", structures.record_id(F.col("name"), number=F.col("doc_key")).alias("record_id"), F.try_element_at("props", F.lit("prop1")).alias("prop1"))
 
 
 @query("SELECT DISTINCT file_name, regexp_replace(file_name, '(.)\\.[^.]*$', '\\1') AS source FROM raw_records")
 def source_from_file_name(spark, d):
-    return table(spark, d, "raw_records").select("file_name").distinct().withColumn("source", F.regexp_replace("file_name", r"(?<=.)\.[^.]*$", ""))
+    return table(spark, d, "raw_records").select("file_name").distinct().withColumn("source", structures.source_of(F.col("file_name")))
 
 
 @query("SELECT hit_id, list_transform(hits, lambda x: x - 1) AS places FROM search_hits WHERE hits IS NOT NULL")
@@ -321,7 +352,7 @@ def group_totals(spark, d):
 # text
 
 
-_TOKENS_SQL = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '' AND len(x) <= 255)"
+_TOKENS_SQL = _TOKENS_SQL.format(x="text")
 
 
 def _documents(spark, d) -> DataFrame:
@@ -374,6 +405,29 @@ def text_relevance_topk(spark, d):
     return scores.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
+_STOPPED_SQL = f"list_filter({_TOKENS_SQL}, lambda y: NOT list_contains({textquery.STOP_WORDS}, y))"
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(' ' || list_aggregate({_STOPPED_SQL}, 'string_agg', ' ') || ' ', ' keep valve ') OR list_contains({_STOPPED_SQL}, 'pipette')")
+def text_stop_words(spark, d):
+    """Stop words are neither in the texts' words nor in a query's; of "the" alone nothing is left."""
+    df = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", textquery.tokens(F.col("text")).alias("t"))
+    return df.where(textquery.Parser({"text": F.col("t")})('"keep the valve" the The pipette')).select("doc_id")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {_TOKENS_SQL} AS t FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: x = 'gasket')) AS a,
+ len(list_filter(range(1, len(t)), lambda i: t[i] = 'short' AND t[i + 1] = 'answer')) AS b, (len(list_filter(t, lambda x: starts_with(x, 'xan'))) > 0)::INT AS c FROM t WHERE len(t) > 0),
+w AS (SELECT 1 + ln(count(*) / (count_if(a > 0) + 1)::DOUBLE) AS ia, 1 + ln(count(*) / (count_if(b > 0) + 1)::DOUBLE) AS ib FROM u)
+SELECT doc_id, round(((2.5 * sqrt(a) * ia * ia + sqrt(b) * ib * ib) / sqrt(n) + 0.5 * c) * ((a > 0)::INT + (b > 0)::INT + c) / 3, 9) AS score FROM u, w WHERE a + b + c > 0"""
+)
+def text_relevance_of_phrases(spark, d):
+    """Scores of a boosted word, a phrase and a boosted prefix."""
+    df = _documents(spark, d)
+    tree = textquery.Parser({"text": F.col("t")}).tree('gasket^2.5 "short answer" xan*^0.5')
+    return textquery.relevance(df, tree.leaves(), {"text": F.col("t")}, "doc_id").withColumn("score", F.round("score", 9))
+
+
 @query("SELECT doc_key FROM molecules WHERE _id = 'cmp277'")
 def text_keyword_id(spark, d):
     return search.text(molecules(spark, d), "_id:cmp277").select("doc_key")
@@ -401,10 +455,16 @@ def size_after_delete(spark, d):
     return store.removed(molecules(spark, d), table(spark, d, "removals")).agg(F.count("*").alias("size"))
 
 
-@query("SELECT doc_key, _id FROM molecules WHERE _source = 'lagoon' UNION ALL SELECT doc_key, _id FROM molecules WHERE _source = 'ostrel'")
-def batch_append_union(spark, d):
-    m = molecules(spark, d)
-    return m.where("_source = 'lagoon'").select("doc_key", "_id").unionByName(m.where("_source = 'ostrel'").select("doc_key", "_id"))
+@query(f"SELECT _source AS value, count(*) AS count FROM ({_LEFT}) WHERE trim(_molfile) <> '' AND _source IS NOT NULL GROUP BY 1")
+def store_changes(spark, d):
+    """A store made of all structures in two commits, then emptied of what the delete requests name; the rows left by source."""
+    m = molecules(spark, d).where("trim(_molfile) <> ''").select(F.col("_id").alias("id"), F.col("_source").alias("source"), F.col("_molfile").alias("structure"), "props")
+    with store.Store(spark, scratch(spark)) as own:
+        first = F.coalesce(F.col("source") == "lagoon", F.lit(False))
+        own.add(m.where(first), props="props")
+        own.add(m.where(~first), props="props")
+        own.remove_all(table(spark, d, "removals"))
+        return aggregates.facet_counts(own.table(), top=None)
 
 
 # results of saved queries
@@ -425,68 +485,135 @@ def hits_by_query(spark, d):
 @query()
 def featurize_structures(spark, d):
     """Formula, counts, weight and fingerprints computed anew from every structure."""
-    from ..sources import structures
-
     m = molecules(spark, d).where("_molfile is not null").select(F.col("doc_key").cast("string").alias("id"), F.col("_source").alias("source"), F.col("_molfile").alias("structure"))
     return structures.featurize(m).select(F.col("_id").cast("long").alias("doc_key"), "_formula", "_natoms", "_nbonds", "_molwt", "_popcount", "error")
 
 
+#: hydrogens that a structure's text leaves out, by the usual valences; those that are drawn are atoms
+_HYDROGEN_SQL = f"""WITH {structure_sql.GRAPH}, ion AS (SELECT k, trim(x[11 + 8 * j : 13 + 8 * j])::INT AS i, trim(x[14 + 8 * j : 17 + 8 * j])::INT AS q
+ FROM (SELECT k, x, unnest(range(0, trim(x[7:9])::INT)) AS j FROM (SELECT k, unnest(l) AS x FROM mol) WHERE x LIKE 'M  CHG%')),
+one AS (SELECT a.k, a.i, a.z, a.ar, s.atom, coalesce(q.q, CASE WHEN s.atom LIKE '[%' THEN CASE WHEN regexp_matches(s.atom, '-') THEN -1 WHEN regexp_matches(s.atom, '\\+') THEN 1 ELSE 0 END ELSE 0 END) AS q
+ FROM atom a LEFT JOIN satom s ON s.k = a.k AND s.i = a.i LEFT JOIN ion q ON q.k = a.k AND q.i = a.i),
+used AS (SELECT k, a AS i, sum(CASE o WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 1 END) AS u, max((o = 4)::INT) AS shared FROM e GROUP BY 1, 2),
+hs AS (SELECT o.k, o.i, o.z, CASE WHEN atom LIKE '[%' THEN CASE WHEN regexp_matches(atom[2:], 'H[0-9]') THEN regexp_extract(atom[2:], 'H([0-9])', 1)::INT WHEN regexp_matches(atom[2:], 'H') THEN 1 ELSE 0 END
+ ELSE coalesce(list_filter(list_transform(CASE z WHEN 'C' THEN [4] WHEN 'N' THEN [3, 5] WHEN 'O' THEN [2] WHEN 'S' THEN [2, 4, 6] WHEN 'P' THEN [3, 5] WHEN 'B' THEN [3] WHEN 'Si' THEN [4] WHEN 'F' THEN [1] WHEN 'Cl' THEN [1] WHEN 'Br' THEN [1] WHEN 'I' THEN [1, 3, 5] ELSE []::INT[] END,
+  lambda v, n: CASE WHEN n > 1 AND (ar OR coalesce(shared, 0) = 1) THEN -9 ELSE v + CASE WHEN z IN ('N', 'O', 'S', 'P') THEN q WHEN z = 'B' THEN -q ELSE -abs(q) END - coalesce(u, 0) - (ar OR coalesce(shared, 0) = 1)::INT END), lambda h: h >= 0)[1], 0) END AS h
+ FROM one o LEFT JOIN used x ON x.k = o.k AND x.i = o.i)"""
+
+
+@query(f"{_HYDROGEN_SQL}, n AS (SELECT k, count(*) + sum(h) AS atoms, sum(h) + count(*) FILTER (z = 'H') AS hydrogens FROM hs GROUP BY 1), b AS (SELECT k, count(*) AS bonds FROM bond GROUP BY 1) SELECT n.k AS doc_key, atoms::BIGINT AS atoms, (coalesce(bonds, 0) + atoms - (SELECT count(*) FROM atom a WHERE a.k = n.k))::BIGINT AS bonds, hydrogens::BIGINT AS hydrogens FROM n LEFT JOIN b ON b.k = n.k")
+def structure_counts(spark, d):
+    """Atoms, bonds and hydrogens of all structures as featurising counts them."""
+    m = molecules(spark, d).where("_molfile is not null").select(F.col("doc_key").cast("string").alias("id"), F.col("_molfile").alias("structure"))
+    made = structures.featurize(m, source=None).where("error is null")
+    hydrogens = F.regexp_extract("_formula", "H(?![a-z])([0-9]*)", 1)
+    many = F.when(~F.col("_formula").rlike("H(?![a-z])"), 0).when(hydrogens == "", 1).otherwise(hydrogens.cast("int"))
+    return made.select(F.col("_id").cast("long").alias("doc_key"), F.col("_natoms").cast("long").alias("atoms"), F.col("_nbonds").cast("long").alias("bonds"), many.cast("long").alias("hydrogens"))
+
+
+_HEAVY_SQL = "regexp_replace(_formula, 'H(?:[0-9]+|($)|([A-Z+-]))', '\\1\\2', 'g')"
+
+
+@query(f"SELECT doc_key, {_HEAVY_SQL} AS heavy, _nbonds - _natoms AS cycles FROM molecules WHERE trim(_molfile) <> '' AND _formula IS NOT NULL AND _natoms IS NOT NULL AND _nbonds IS NOT NULL")
+def featurized_against_stored(spark, d):
+    """What is independent of hydrogens, from every structure, against the stored columns: formula without H, bonds less atoms."""
+    m = molecules(spark, d).where("trim(_molfile) <> '' and _formula is not null and _natoms is not null and _nbonds is not null")
+    made = structures.featurize(m.select(F.col("doc_key").cast("string").alias("id"), F.col("_molfile").alias("structure")), source=None)
+    heavy = F.regexp_replace(F.regexp_replace("_formula", "[+-][0-9]*$", ""), "H(?![a-z])[0-9]*", "")
+    return made.select(F.col("_id").cast("long").alias("doc_key"), heavy.alias("heavy"), (F.col("_nbonds") - F.col("_natoms")).alias("cycles"))
+
+
 @query()
 def substructure_search(spark, d):
     return search.substructure(molecules(spark, d), "c1ccncc1").select("doc_key", "similarity", "hits")
 
 
-@query()
+def _atoms(df: DataFrame) -> DataFrame:
+    """One row for each match: the atoms it lies on."""
+    return df.select("doc_key", F.explode("hits").alias("h")).select("doc_key", F.array_sort("h").alias("atoms"))
+
+
+@query(f"{structure_sql.PYRIDINE} SELECT k AS doc_key, atoms FROM ring")
+def substructure_rings(spark, d):
+    """All places of a pyridine ring in all structures."""
+    return _atoms(search.substructure(molecules(spark, d), "c1ccncc1", all_hits=True))
+
+
+@query(f"{structure_sql.AMIDE} SELECT DISTINCT k AS doc_key, list_sort([x, y, z]) AS atoms FROM path")
+def substructure_amides(spark, d):
+    return _atoms(search.substructure(molecules(spark, d), "C(=O)N", all_hits=True))
+
+
+@query(f"{structure_sql.AMIDE} SELECT DISTINCT doc_key FROM path JOIN molecules ON doc_key = k WHERE _natoms >= 30 AND _molwt <= 450")
 def substructure_filtered(spark, d):
     m = molecules(spark, d)
-    return search.substructure(m, "C(=O)N", None, p.int_range(m, "_natoms", 30), p.double_range(m, "_molwt", None, 450)).select("doc_key", "similarity", "hits")
+    return search.substructure(m, "C(=O)N", None, p.int_range(m, "_natoms", 30), p.double_range(m, "_molwt", None, 450)).select("doc_key")
 
 
-@query()
+@query(f"""{structure_sql.path("p.z = 'C'", "q.z <> 'H'", "r.z = 'N'", "x.o = 1 AND y.o = 1")} SELECT k AS doc_key, count(DISTINCT list_sort([x, y, z]))::INT AS matches FROM path GROUP BY 1""")
 def substructure_all_matches(spark, d):
     return search.substructure(molecules(spark, d), "C*N", all_hits=True, key="doc_key").select("doc_key", F.size("hits").alias("matches"))
 
 
+@query(f"""{structure_sql.path("p.z = 'O'", "q.z IN ('S', 'P')", "r.z = 'N'", "x.o = 2 AND y.o IN (1, 2, 3, 4) AND NOT q.ar")} SELECT k AS doc_key, count(DISTINCT list_sort([x, y, z]))::INT AS matches FROM path WHERE k IN (SELECT e.k FROM e JOIN atom ON atom.k = e.k AND i = e.a WHERE z = 'S') GROUP BY 1""")
+def substructure_query_bonds(spark, d):
+    """Any bond, and one of two elements: two queries over all structures, counted together where there is sulfur."""
+    found = [search.substructure(molecules(spark, d), f"O={x}~N", all_hits=True).select("doc_key", F.size("hits").alias("n")) for x in "SP"]
+    both = found[0].unionByName(found[1]).groupBy("doc_key").agg(F.sum("n").cast("int").alias("matches"))
+    return both.join(search.substructure(molecules(spark, d), "S").select("doc_key").distinct(), "doc_key", "left_semi")
+
+
+@query(
+    f"""WITH {structure_sql.GRAPH}, n AS (SELECT k, count(*) AS atoms, count_if(z = 'C') AS c, count_if(z = 'O') AS o FROM atom WHERE z <> 'H' GROUP BY 1), b AS (SELECT b.k, count(*) AS bonds FROM bond b JOIN atom p ON p.k = b.k AND p.i = b.a JOIN atom q ON q.k = b.k AND q.i = b.b WHERE p.z <> 'H' AND q.z <> 'H' GROUP BY 1),
+g AS (SELECT e.k, e.a, count(*) AS degree FROM e JOIN atom q ON q.k = e.k AND q.i = e.b WHERE q.z <> 'H' GROUP BY 1, 2), m AS (SELECT k, min(degree) AS lo, max(degree) AS hi FROM g JOIN atom USING (k) WHERE atom.i = g.a AND z <> 'H' GROUP BY 1)
+SELECT n.k AS doc_key FROM n JOIN b ON b.k = n.k JOIN m ON m.k = n.k WHERE atoms = 5 AND c = 4 AND o = 1 AND bonds = 5 AND lo = 2 AND hi = 2 AND NOT EXISTS (SELECT 1 FROM bond x WHERE x.k = n.k AND x.o <> 1)"""
+)
+def substructure_exact(spark, d):
+    """Structures that are a ring of four carbons and an oxygen, and no more."""
+    return search.substructure(molecules(spark, d), "C1CCCO1", mode="exact").select("doc_key")
+
+
 @query()
 def structures_as_smiles(spark, d):
-    from ..sources import structures
-
     return structures.as_text(molecules(spark, d).where("_molfile is not null"), "smiles").select("doc_key", F.col("text").alias("smiles"))
 
 
+@query(f"{_HYDROGEN_SQL} SELECT k AS doc_key, (count(*) + sum(h))::BIGINT AS atoms, ((SELECT count(*) FROM bond b WHERE b.k = hs.k) + sum(h))::BIGINT AS bonds FROM hs GROUP BY 1")
+def structures_rewritten(spark, d):
+    """Atoms and bonds of structures that were written as SMILES, read, written as blocks and read again."""
+    m = molecules(spark, d).where("_molfile is not null").select("doc_key", "_molfile")
+    m = structures.as_text(structures.as_text(m, "smiles"), "mol", "text", "block").where("block is not null")
+    made = structures.featurize(m.select(F.col("doc_key").cast("string").alias("id"), F.col("block").alias("structure")), source=None)
+    return made.select(F.col("_id").cast("long").alias("doc_key"), F.col("_natoms").cast("long").alias("atoms"), F.col("_nbonds").cast("long").alias("bonds"))
+
+
 @query()
 def substructure_batch_join(spark, d):
     """Every saved substructure query against all molecules."""
     return search.substructure_join(molecules(spark, d), table(spark, d, "saved_queries").where("kind = 'substructure'"))
 
 
-_TOY = [("a", 1, "C"), ("a", 2, "O"), ("a", 3, "C"), ("b", 1, "C"), ("b", 2, "C"), ("b", 3, "O"), ("c", 1, "C"), ("c", 2, "C"), ("c", 3, "C")]
-_TOY_BONDS = [("a", 1, 2), ("a", 2, 3), ("b", 1, 2), ("b", 2, 3), ("c", 1, 2), ("c", 2, 3), ("c", 1, 3)]
-_ATOMS_SQL = "(VALUES " + ", ".join(f"('{g}', {i}, '{s}')" for g, i, s in _TOY) + ") t(g, i, s)"
-_BONDS_SQL = "(VALUES " + ", ".join(f"('{g}', {a}, {b}), ('{g}', {b}, {a})" for g, a, b in _TOY_BONDS) + ") e(g, a, b)"
-
-
-def _toy(spark) -> tuple[DataFrame, DataFrame]:
-    bonds = spark.createDataFrame(_TOY_BONDS, "g string, a int, b int")
-    return spark.createDataFrame(_TOY, "g string, i int, s string"), bonds.unionByName(bonds.select("g", F.col("b").alias("a"), F.col("a").alias("b")))
+def _both_ways(bonds: DataFrame) -> DataFrame:
+    return bonds.unionByName(bonds.select("doc_key", F.col("b").alias("a"), F.col("a").alias("b"), "kind"))
 
 
-@query(f"WITH v AS (SELECT * FROM {_ATOMS_SQL}), e AS (SELECT * FROM {_BONDS_SQL}) SELECT DISTINCT x.g FROM e x JOIN e y ON x.g = y.g AND x.b = y.a AND x.a <> y.b JOIN v p ON p.g = x.g AND p.i = x.a JOIN v q ON q.g = x.g AND q.i = x.b JOIN v r ON r.g = x.g AND r.i = y.b WHERE p.s = 'C' AND q.s = 'O' AND r.s = 'C'")
+@query(f"""{structure_sql.path("p.z = 'C'", "q.z = 'O'", "r.z = 'C'")} SELECT DISTINCT k AS doc_key FROM path""")
 def motif_path3(spark, d):
-    """C-O-C as joins of the bond table with itself, the relational form of a substructure search."""
-    v, e = _toy(spark)
-    s = {n: v.select("g", F.col("i").alias(n), F.col("s").alias(f"s{n}")) for n in "abc"}
-    path = e.join(e.select("g", F.col("a").alias("b"), F.col("b").alias("c")), ["g", "b"]).where("a <> c")
-    path = path.join(s["a"], ["g", "a"]).join(s["b"], ["g", "b"]).join(s["c"], ["g", "c"])
-    return path.where("sa = 'C' and sb = 'O' and sc = 'C'").select("g").distinct()
+    """C-O-C as joins of the bonds of all structures, the relational form of a substructure search."""
+    atoms, bonds = structures.as_tables(molecules(spark, d))
+    atoms, e = cut(atoms), _both_ways(cut(bonds))
+    s = {n: atoms.select("doc_key", F.col("i").alias(n), F.col("symbol").alias(f"s{n}")) for n in "abc"}
+    # carbons at oxygens first, so that only their bonds are joined
+    co = e.join(s["a"].where("sa = 'C'"), ["doc_key", "a"]).join(s["b"].where("sb = 'O'"), ["doc_key", "b"]).select("doc_key", "a", "b")
+    return co.join(co.select("doc_key", "b", F.col("a").alias("c")), ["doc_key", "b"]).where("a < c").select("doc_key").distinct()
 
 
-@query(f"WITH e AS (SELECT * FROM {_BONDS_SQL}) SELECT DISTINCT x.g FROM e x JOIN e y ON x.g = y.g AND x.b = y.a JOIN e z ON x.g = z.g AND y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.b < y.b")
+@query(f"WITH {structure_sql.GRAPH} SELECT DISTINCT x.k AS doc_key FROM e x JOIN e y ON x.k = y.k AND x.b = y.a JOIN e z ON x.k = z.k AND y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.b < y.b")
 def motif_triangle(spark, d):
-    _, e = _toy(spark)
-    e = e.where("a < b")
-    one, two = e, e.select("g", F.col("a").alias("b"), F.col("b").alias("c"))
-    return one.join(two, ["g", "b"]).join(e.select("g", "a", F.col("b").alias("c")), ["g", "a", "c"]).select("g").distinct()
+    """Rings of three atoms, the bonds' smaller ends first."""
+    bonds = cut(structures.as_tables(molecules(spark, d))[1]).select("doc_key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    two = bonds.select("doc_key", F.col("a").alias("b"), F.col("b").alias("c"))
+    return bonds.join(two, ["doc_key", "b"]).join(bonds.select("doc_key", "a", F.col("b").alias("c")), ["doc_key", "a", "c"]).select("doc_key").distinct()
 
 
 @query("SELECT label, count(*) AS n, count(DISTINCT embedding) AS different FROM embeddings GROUP BY label")
@@ -506,3 +633,13 @@ def p2_found(spark, d):
 @query()
 def p2_loaded(spark, d):
     return records.load(table(spark, d, "raw_records")).where("reason is null").drop("reason", "properties")
+
+
+@query()
+def p2_assembled(spark, d):
+    """The records as physical lines of three files, put together again and loaded: records by reason."""
+    raw = table(spark, d, "raw_records").where("line is not null").select("raw_id", "delim", F.posexplode(F.split("line", "\n")).alias("i", "text"))
+    raw = raw.withColumn("line_no", F.col("raw_id") * (1 << 20) + F.col("i"))
+    parts = [records.assemble(raw.where(F.col("delim") == x).select(F.lit(x).alias("file_name"), "line_no", "text"), columns=6, delim=x) for x in (",", ";", "\t")]
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return records.load(whole, key="line_no", delim="file_name").groupBy("reason").agg(F.count("*").alias("records"))

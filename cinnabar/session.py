@@ -44,18 +44,32 @@ def shared_dir(spark: SparkSession) -> str:
     return now.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, of which nothing is left when the session ends."""
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Runs ``df`` now and returns its rows from a table in the shared folder, so nothing before it is ever computed again.
 
-    A written table, unlike cached blocks, outlives the loss of any executor.
+    A written table, unlike cached blocks, outlives the loss of any executor. ``done`` removes it before the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # as long as the session may need it
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Removes tables that ``cut`` wrote and nothing reads any more: those of a round whose successor is written."""
+    for t in tables:
+        at = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._cut)
+        at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def splits(df: DataFrame) -> int:

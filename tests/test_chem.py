@@ -200,3 +200,11 @@ def test_unique_matches_don_t_walk_every_order():
         for other in ("CC(C)(C)C(C)C", "OC(=O)CC(=O)O", "c1ccc2ccccc2c1", "NCCNCCN"):
             a, b = match.Query(mol(text)), mol(other)
             assert {frozenset(h) for h in a.find(b)} == {frozenset(h) for h in a.find(b, once=True)}
+
+
+def test_hydrogens_that_bonds_don_t_tell_are_kept():
+    for text in ("[CH]1CCCC1", "[CH2]C", "[C]", "C[N+](C)(C)C", "c1cc[nH]c1", "CS(=O)(=O)N", "[SiH3]C"):
+        a = mol(text)
+        for kekule in (True, False):
+            b = match.prepared(molfile.read(molfile.write(a, kekule)))
+            assert graph.formula(b) == graph.formula(a), text

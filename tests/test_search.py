@@ -161,6 +161,23 @@ def test_query_syntax(spark):
     assert best["k"] == 3
 
 
+def test_relevance(spark, tmp_path):
+    rows = [("a", f"m{i}", "C" * (i + 1)) for i in range(6)]
+    props = [{"note": "green oven"}, {"note": "oven oven green bench"}, {"note": "bench"}, {"other": "oven"}, {"note": "oven bench green"}, None]
+    t = filled(spark, tmp_path / "s", rows, props).table()
+    scores = lambda q: {r["_id"]: round(r["score"], 6) for r in search.text(t, q).collect()}
+    # phrases, wildcards and words of a field have scores of their own, in the field they are in
+    assert set(scores('"green oven"')) == {"m0"} and scores('"green oven"')["m0"] > 0
+    assert set(scores("note:oven")) == {"m0", "m1", "m4"} and scores("note:oven")["m0"] > scores("note:oven")["m4"] > 0
+    assert scores("ben*") == {"m1": 1.0, "m2": 1.0, "m4": 1.0}
+    # a boost counts
+    assert scores("note:oven^3 note:bench")["m0"] > scores("note:oven note:bench")["m0"]
+    assert list(scores("note:bench^5 note:oven"))[0] == "m4" and scores("(note:bench)^2")["m2"] == pytest.approx(2 * scores("note:bench")["m2"], rel=1e-5)
+    # words between, and in another order
+    assert set(scores('"oven green"')) == {"m1"} and set(scores('note:"oven green"~1')) == {"m1", "m4"} and set(scores('"oven green"~2')) == {"m0", "m1", "m4"}
+    assert set(scores('"oven bench"~1 -note:(oven -bench)')) == {"m4", "m1"}
+
+
 def test_histograms_and_facets(spark):
     df = spark.createDataFrame([(x, f"s{x % 25}" if x % 7 else None) for x in range(100)] + [(None, None)], "n int, s string")
     rows = aggregates.histogram(df, F.col("n"), (10, 20, 90)).orderBy("bucket").collect()
