@@ -88,7 +88,7 @@ def mass(m: Mol) -> float:
 
 
 def formula(m: Mol) -> str:
-    """Hill order: carbon, hydrogen, then by symbol; without carbon all by symbol."""
+    """Hill order: carbon, hydrogen, then by symbol; without carbon all by symbol. A charge is no part of it."""
     count: dict[str, int] = {}
     for i, z in enumerate(m.z):
         if z:
@@ -97,9 +97,7 @@ def formula(m: Mol) -> str:
         count["H"] = count.get("H", 0) + h
     first = ["C", "H"] if "C" in count else []
     order = [s for s in first if s in count] + sorted(s for s in count if s not in first)
-    charge = sum(m.charge)
-    tail = "" if not charge else ("+" if charge > 0 else "-") + (str(abs(charge)) if abs(charge) > 1 else "")
-    return "".join(s + (str(count[s]) if count[s] > 1 else "") for s in order) + tail
+    return "".join(s + (str(count[s]) if count[s] > 1 else "") for s in order)
 
 
 def rings(m: Mol) -> list[list[int]]:

@@ -15,7 +15,7 @@ from ..functions import textquery
 from ..functions.predicates import all_of
 from ..session import spread
 
-BROADCAST_ROWS = 100_000  #: queries that every task may hold; more are joined by popcount
+BROADCAST_ROWS = 100_000  #: queries that every task may hold; more are taken in parts
 
 
 def similarity(df: DataFrame, query: list[int], threshold: float, most: int | None = None, *filters: Column, key: str = "doc_key", fingerprint: str = "_fingerprint_sim", popcnt: str | None = None, legacy: bool = False) -> DataFrame:
@@ -38,11 +38,20 @@ def similarity(df: DataFrame, query: list[int], threshold: float, most: int | No
     return out.limit(most) if most and most > 0 else out
 
 
+def in_parts(queries: DataFrame) -> list[DataFrame]:
+    """A batch of queries in parts of about ``BROADCAST_ROWS``, which a task may hold. Queries are counted when this is called."""
+    parts = max(1, -(-queries.count() // BROADCAST_ROWS)) if BROADCAST_ROWS else 1
+    if parts == 1:
+        return [queries]
+    part = F.pmod(F.xxhash64(*queries.columns), F.lit(parts))
+    return [queries.where(part == i) for i in range(parts)]
+
+
 def similarity_join(df: DataFrame, queries: DataFrame, threshold: Column | float, key: str = "doc_key", query_key: str = "query_id", fingerprint: str = "_fingerprint_sim", words: int = fp.WORDS) -> DataFrame:
     """(query key, key, similarity) for every query of a batch against all rows.
 
-    A batch of a checked size is sent to every task; a larger one meets the rows by number of bits, each query under every
-    number its threshold lets through.
+    A batch of a checked size is sent to every task, where a window on the number of bits comes before the exact test; a
+    larger one is taken in parts of that size, each in a pass of its own over all rows.
     """
     q = queries.where(F.col(fingerprint).isNotNull()).withColumn("__t", F.lit(threshold) if isinstance(threshold, (int, float)) else threshold)
     q = q.select(query_key, "__t", *[fp.column(w).alias(f"q{i}") for i, w in enumerate(fp.words_of(fingerprint, words))])
@@ -50,11 +59,10 @@ def similarity_join(df: DataFrame, queries: DataFrame, threshold: Column | float
     q = q.withColumn("lo", fp.column("ceil(qp * __t - 1e-9D)")).withColumn("hi", fp.column(f"case when __t > 0 then floor(qp / __t + 1e-9D) else {64 * words} end"))
     t = df.where(F.col(fingerprint).isNotNull()).select(key, *[fp.column(w).alias(f"t{i}") for i, w in enumerate(fp.words_of(fingerprint, words))])
     t = t.withColumn("tp", fp.column(fp.bits_of([f"t{i}" for i in range(words)])))
-    if q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        both = t.join(F.broadcast(q), F.col("tp").between(F.col("lo"), F.col("hi")))
-    else:
-        q = q.withColumn("tp", F.explode(F.sequence(F.greatest("lo", F.lit(0)).cast("int"), F.least("hi", F.lit(64 * words)).cast("int"))))
-        both = t.withColumn("tp", F.col("tp").cast("int")).join(q, "tp")
+    both = None
+    for part in in_parts(q):
+        met = t.join(F.broadcast(part), F.col("tp").between(F.col("lo"), F.col("hi")))
+        both = met if both is None else both.unionByName(met)
     similarity = fp.tanimoto([f"t{i}" for i in range(words)], [f"q{i}" for i in range(words)], "tp", "qp")
     return both.withColumn("similarity", fp.column(f"coalesce({similarity}, 0D)")).where("similarity >= __t").select(query_key, key, "similarity")
 
@@ -151,10 +159,9 @@ def substructure_join(df: DataFrame, queries: DataFrame, key: str = "doc_key", s
     read when this is called.
     """
     own = queries.select(F.col(query_key).cast("long").alias("k"), F.col(query).alias("q")).where("q is not null")
-    parts = max(1, -(-own.count() // BROADCAST_ROWS))
     out = None
-    for part in range(parts):
-        texts = [(r["k"], r["q"]) for r in own.where(F.pmod(F.xxhash64("k", "q"), F.lit(parts)) == part).collect()]
+    for part in in_parts(own):
+        texts = [(r["k"], r["q"]) for r in part.collect()]
         found = _matched(df, texts, key, structure, query_key)
         out = found if out is None else out.unionByName(found)
     return out

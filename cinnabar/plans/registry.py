@@ -215,10 +215,8 @@ def saved_filters(spark, d):
 
 
 def filter_counts(m: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, rows): a batch of a checked size is sent to every task, a larger one meets the rows part by part."""
+    """(query_id, rows): a batch of a checked size is sent to every task, a larger one part by part."""
     q = queries.select("query_id", "filters")
-    if q.limit(search.BROADCAST_ROWS + 1).count() <= search.BROADCAST_ROWS:
-        q = F.broadcast(q)
     m = m.select("_natoms", "_nbonds", "_molwt", "_popcount", "props")
 
     def value(f):
@@ -238,7 +236,11 @@ def filter_counts(m: DataFrame, queries: DataFrame) -> DataFrame:
         hi = f["hi"].isNull() | (x < f["hi"]) | (f["hi_inc"] & (x == f["hi"]))
         return F.coalesce(x.isNotNull() & lo & hi, F.lit(False))
 
-    return m.join(q, F.coalesce(F.forall("filters", holds), F.lit(True))).groupBy("query_id").agg(F.count("*").alias("rows"))
+    found = [m.join(F.broadcast(part), F.coalesce(F.forall("filters", holds), F.lit(True))).groupBy("query_id").agg(F.count("*").alias("rows")) for part in search.in_parts(q)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out if len(found) == 1 else out.groupBy("query_id").agg(F.sum("rows").alias("rows"))
 
 
 @query(f"SELECT doc_key, {_bit_sql(3)} = 1 AS bit3, {_bit_sql(63)} = 1 AS bit63, {_bit_sql(300)} = 1 AS bit300 FROM molecules WHERE _fingerprint_sim IS NOT NULL")
@@ -519,7 +521,7 @@ def featurized_against_stored(spark, d):
     """What is independent of hydrogens, from every structure, against the stored columns: formula without H, bonds less atoms."""
     m = molecules(spark, d).where("trim(_molfile) <> '' and _formula is not null and _natoms is not null and _nbonds is not null")
     made = structures.featurize(m.select(F.col("doc_key").cast("string").alias("id"), F.col("_molfile").alias("structure")), source=None)
-    heavy = F.regexp_replace(F.regexp_replace("_formula", "[+-][0-9]*$", ""), "H(?![a-z])[0-9]*", "")
+    heavy = F.regexp_replace("_formula", "H(?![a-z])[0-9]*", "")
     return made.select(F.col("_id").cast("long").alias("doc_key"), heavy.alias("heavy"), (F.col("_nbonds") - F.col("_natoms")).alias("cycles"))
 
 

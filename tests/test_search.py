@@ -10,7 +10,7 @@ from cinnabar.functions import predicates as p
 from cinnabar.functions import textquery
 from cinnabar.operators import aggregates, codebook, search
 from cinnabar.sources import structures
-from cinnabar.sources.store import ReadOnly, Store
+from cinnabar.sources.store import Conflict, ReadOnly, Store
 from cinnabar.streaming import ingest
 
 C6 = [("foo", "one", "c1ccccc1"), ("bar", "one", "c1ccncc1"), ("bar", "two", "OC1CCCC[C@H]1O"), ("bar", "three", "CC(=O)Nc1ccc(cc1O)C(O)=O"), ("abc", "one", "c1ncncc1"), ("abc", "two", "Cc1cc(Cl)nc2N(C3CC3)c3ncccc3C(=O)Nc12")]
@@ -116,7 +116,7 @@ def test_tanimoto_columns(spark):
         assert got == {i: s for i, s in want.items() if s >= t}
     assert [r["doc_key"] for r in search.similarity(df, [0] * 8, 0.5).collect()] == []
     queries = df.select(F.col("doc_key").alias("query_id"), "_fingerprint_sim")
-    for most in (search.BROADCAST_ROWS, 0):
+    for most in (search.BROADCAST_ROWS, 7):
         search.BROADCAST_ROWS, kept = most, search.BROADCAST_ROWS
         got = search.similarity_join(df, queries, 0.3).where("query_id = 3").collect()
         search.BROADCAST_ROWS = kept
@@ -203,6 +203,59 @@ def test_codebooks_screen_without_loss(spark):
     assert codebook.best(counts, books, q) in (0, 1, 2, 3, None)
 
 
+def test_codebooks_are_kept(spark, tmp_path):
+    store = filled(spark, tmp_path / "s", C6)
+    assert store.codebooks() == codebook.build() and codebook.build() == codebook.build()
+    counted = {(r["book"], r["code"]): r["count"] for r in store.count_codes().collect()}
+    assert counted == {(r["book"], r["code"]): r["count"] for r in codebook.counts(store.table(), store.codebooks()).collect()}
+    again = Store(spark, str(tmp_path / "s"), read_only=True)
+    assert again.codebooks() == store.codebooks() and {(r["book"], r["code"]): r["count"] for r in again.count_codes().collect()} == counted
+    store.add_one("more", "CCCC")
+    assert sum(r["count"] for r in store.count_codes().collect()) == 256 * 7
+    t = store.table()
+    q = t.where("_id = 'abc' or true").select("_fingerprint_sim").first()[0]
+    some = [q[0], *[0] * 7]
+    want = {r["doc_key"] for r in search.containment(t, some).collect()}
+    assert {r["doc_key"] for r in codebook.screened(t, store.codebooks(), some).collect()} == want
+    assert {r["doc_key"] for r in codebook.screened(t, store.codebooks(), [0] * 8).collect()} == {r["doc_key"] for r in t.collect()}
+    codebook.save(codebook.counts(t.limit(0), [[1, 2]]), [[1, 2]], str(tmp_path / "empty"))
+    assert codebook.load(spark, str(tmp_path / "empty"))[0] == [[1, 2]]
+
+
+def test_a_slower_writer_changes_nothing(spark, tmp_path):
+    one = filled(spark, tmp_path / "s", C6[:2])
+    state, n = one._state()
+    Store(spark, str(tmp_path / "s")).remove("foo")
+    with pytest.raises(Conflict):
+        one._commit(state, n)
+    assert ids(one.table()) == ["one"]
+
+
+def test_only_parts_with_a_hit_are_written_again(spark, tmp_path):
+    store = filled(spark, tmp_path / "s", C6[:2])
+    store.add_one("far", "CC", "three")
+    before = store._state()[0]["parts"]
+    store.remove_all(spark.createDataFrame([("three", None), (None, None), ("nothing", "x")], "source string, id string"))
+    after = store._state()[0]["parts"]
+    assert after[0] == before[0] and after[1] != before[1] and store.size() == 2
+
+
+def test_large_batches_of_substructures_are_taken_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(i, s) for i, (_, _, s) in enumerate(C5 + C6)], "doc_key long, _molfile string")
+    queries = spark.createDataFrame([(i, s) for i, (_, _, s) in enumerate(C5 + C6)] + [(50, "C("), (51, None)], "query_id long, query string")
+    want = sorted(map(str, search.substructure_join(df, queries).collect()))
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 3)
+    assert sorted(map(str, search.substructure_join(df, queries).collect())) == want and want
+
+
+def test_structures_as_tables(spark):
+    df = spark.createDataFrame([(1, "c1ccncc1"), (2, "C(=O)N"), (3, "C("), (4, None)], "doc_key long, _molfile string")
+    atoms, bonds = structures.as_tables(df)
+    assert {(r["doc_key"], r["i"], r["symbol"], r["aromatic"]) for r in atoms.collect()} == {(1, i, "N" if i == 4 else "C", True) for i in range(1, 7)} | {(2, 1, "C", False), (2, 2, "O", False), (2, 3, "N", False)}
+    assert {(r["a"], r["b"], r["kind"]) for r in bonds.where("doc_key = 2").collect()} == {(1, 2, 2), (1, 3, 1)}
+    assert structures.as_tables(df.limit(0))[0].count() == 0
+
+
 def test_files_and_command_line(spark, tmp_path):
     from cinnabar.chem import molfile
 
