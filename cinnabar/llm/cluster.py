@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint as fp
-from ..session import cut
+from ..session import cut, done
 from . import bits
 
 ROWS = 4  #: MinHash values of a band: four keep unrelated records apart
@@ -241,6 +241,7 @@ def components(edges: DataFrame) -> DataFrame:
     with the logarithm of the longest path. Only counts come to the driver. Hot nodes are aggregated on the map side.
     """
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    before: list[DataFrame] = []
     while True:
         # settled when every node has one parent and no parent has one
         least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
@@ -252,9 +253,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = edges.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         # large star: each node's larger neighbours hang on the least of all its neighbours
         small = cut(small)
+        done(*before, edges)
         small_low = small.groupBy("u").agg(F.min("v").alias("m"))
         large = _looked_up(small, small.count(), small_low.select(F.col("u").alias("v"), "m")).select("u", F.coalesce("m", "v").alias("v")).distinct()
         edges = cut(large)
+        before = [small]
 
 
 def labels(df: DataFrame, key: str, fingerprint: str, threshold: float = 0.6, words: int = 8) -> DataFrame:
@@ -490,7 +493,7 @@ def members(df: DataFrame, key: str = "doc_key", fingerprint: str = "_fingerprin
     sizes = found.groupBy(F.col("root").alias("grp")).agg(F.count("*").alias("size"))
     placed = cut(df.join(found.select(F.col("node").alias("key"), F.col("root").alias("grp")), "key", "left").withColumn("grp", F.coalesce("grp", "key")).join(sizes, "grp", "left").withColumn("size", F.coalesce("size", F.lit(1))))
     total = placed.count()
-    done = [_split(placed.where(F.col("size") <= BLOCK), threshold, words, total, False)]
+    made = [_split(placed.where(F.col("size") <= BLOCK), threshold, words, total, False)]
     big = placed.where(F.col("size") > BLOCK)
     if big.limit(1).count():
         scored = cut(big.join(typical(big, words, total).select("key", "score"), "key").select("grp", "key", "fp", "score", "size"))
@@ -501,19 +504,19 @@ def members(df: DataFrame, key: str = "doc_key", fingerprint: str = "_fingerprin
         degree = scored.join(tops, "grp").groupBy("grp", "top", "size").agg(F.count_if(near >= threshold).alias("degree"))
         tight = degree.where(F.col("degree") >= LOOSE * F.col("size")).select("grp", "top")
         open_ = cut(scored.join(tight, "grp", "left"))
-        done.append(open_.where("top is not null").select("key", F.col("top").alias("medoid")))
+        made.append(open_.where("top is not null").select("key", F.col("top").alias("medoid")))
         open_ = open_.where("top is null").drop("top")
         turn = 0
         while open_.limit(1).count():
             after = cut(_round(open_, threshold, words, total, turn))
-            done.append(after.where("medoid is not null").select("key", "medoid"))
+            made.append(after.where("medoid is not null").select("key", "medoid"))
             rest = after.where("medoid is null").drop("medoid")
             few = rest.groupBy("grp").agg(F.count("*").alias("n"))
             rest = cut(rest.join(few, "grp"))
-            done.append(_split(rest.where(F.col("n") <= BLOCK), threshold, words, total, True))
+            made.append(_split(rest.where(F.col("n") <= BLOCK), threshold, words, total, True))
             open_, turn = rest.where(F.col("n") > BLOCK).drop("n"), turn + 1
-    out = done[0]
-    for d in done[1:]:
+    out = made[0]
+    for d in made[1:]:
         out = out.unionByName(d)
     out = cut(out)
     names = out.groupBy("medoid").agg(F.min("key").alias("cluster_key"), F.count("*").alias("size"))
