@@ -27,6 +27,7 @@ from . import bits
 
 ROWS = 4  #: MinHash values of a band: four keep unrelated records apart
 BANDS = 42  #: a pair at similarity 0.6 shares no band with probability 0.003
+LEAST = 0.5  #: at which a pair shares no band with probability 0.07
 TASK_ROWS = 250_000  #: rows that one task holds at a time
 CHUNK = 1_000_000  #: pairs that are verified at a time
 
@@ -135,7 +136,12 @@ def link_buckets(label: np.ndarray, w: np.ndarray, pc: np.ndarray, key: np.ndarr
 
 
 def links(df: DataFrame, key: str, fingerprint: str, threshold: float, words: int = 8, n: int | None = None) -> DataFrame:
-    """Edges (u, v), u > v, whose components are those of all verified candidate pairs."""
+    """Edges (u, v), u > v, whose components are those of all verified candidate pairs.
+
+    The bands are made for a ``threshold`` of ``LEAST`` or more; below it too many pairs would share none.
+    """
+    if threshold < LEAST:
+        raise ValueError(f"the threshold is {LEAST} or more")
     dtype = np.dtype([("key", "<i8"), ("w", "<u8", (words,))])
     df = df.select(F.col(key).cast("long").alias("key"), F.col(fingerprint).alias("fp")).where("key is not null and fp is not null")
     n = df.count() if n is None else n

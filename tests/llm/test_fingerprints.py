@@ -221,6 +221,8 @@ def test_neighbours_in_a_large_component(spark, monkeypatch):
 
 def test_neighbours_in_a_family_that_no_minhash_divides(spark, monkeypatch):
     monkeypatch.setattr(knn, "SHARD_ROWS", 60)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(knn, "QUERIES", 50)
     rng = random.Random(4)
     order = rng.sample(range(512), 512)
     base, free = set(order[:70]), order[70:]
@@ -235,6 +237,12 @@ def test_neighbours_in_a_family_that_no_minhash_divides(spark, monkeypatch):
     assert sum(len(set(got.get(k, [])) & set(v)) for k, v in want.items()) >= 0.95 * sum(map(len, want.values()))
 
 
+def test_thresholds_that_the_bands_are_not_made_for(spark):
+    for f in (knn.neighbours, cluster.clusters):
+        with pytest.raises(ValueError):
+            f(frame(spark, []), threshold=0.1)
+
+
 def test_compared_finds_the_first_of_equals():
     rows = [(i, {*range(40)} ^ {100 + i % 7, 200 + i}, "a") for i in range(60)]
     w = np.array([words(s) for _, s, _ in rows], np.int64).view(np.uint64)
