@@ -104,7 +104,7 @@ def as_text(df: DataFrame, kind: str = "smiles", structure: str = "_molfile", ou
 
         return texts.map(one)
 
-    return df.withColumn(out, convert(F.col(structure)))
+    return spread(df).withColumn(out, convert(F.col(structure)))
 
 
 def as_tables(df: DataFrame, key: str = "doc_key", structure: str = "_molfile") -> tuple[DataFrame, DataFrame]:
