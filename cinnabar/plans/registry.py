@@ -584,7 +584,7 @@ def structures_as_smiles(spark, d):
 def structures_rewritten(spark, d):
     """Atoms and bonds of structures that were written as SMILES, read, written as blocks and read again."""
     m = molecules(spark, d).where("_molfile is not null").select("doc_key", "_molfile")
-    m = structures.as_text(structures.as_text(m, "smiles"), "mol", "text", "block").where("block is not null")
+    m = cut(structures.as_text(cut(structures.as_text(m, "smiles")), "mol", "text", "block")).where("block is not null")
     made = structures.featurize(m.select(F.col("doc_key").cast("string").alias("id"), F.col("block").alias("structure")), source=None)
     return made.select(F.col("_id").cast("long").alias("doc_key"), F.col("_natoms").cast("long").alias("atoms"), F.col("_nbonds").cast("long").alias("bonds"))
 
