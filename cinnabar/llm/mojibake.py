@@ -53,6 +53,7 @@ SKELETON = 8  #: ASCII characters that near-twins share at least
 DEPTH = 3  #: transformations one upon the other
 NEVER = 1 << 40
 KEEP = 1_000_000  #: findings that a worker remembers
+CHARACTERS = 2_000_000  #: that are counted at a time
 LOST = "�"
 
 
@@ -647,9 +648,12 @@ def judged(df: DataFrame, text: str = "text") -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2 * TABLE, np.int64)
         for batch in batches:
-            for s in range(0, batch.num_rows, 5000):
-                part = batch.slice(s, 5000)
-                count_lines(part["line"].to_pylist(), (UNIT * np.sqrt(part["n"].to_numpy())).astype(int), counts)
+            held = batch["line"].to_pylist()
+            weights = (UNIT * np.sqrt(batch["n"].to_numpy())).astype(int)
+            # some characters at a time, however long the lines are
+            part = np.cumsum([len(x) for x in held]) // CHARACTERS if held else np.zeros(0, int)
+            for s, e in zip(*(lambda c: (np.r_[0, c], np.r_[c, len(held)]))(np.flatnonzero(np.diff(part)) + 1)):
+                count_lines(held[s:e], weights[s:e], counts)
         at = np.flatnonzero(counts)
         for s in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_pydict({"at": at[s : s + 100_000], "n": counts[at[s : s + 100_000]]})
