@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..chem import graph
 from ..functions import fingerprint as fp
 from ..functions import predicates as p
 from ..functions import textquery
@@ -612,10 +613,9 @@ def motif_path3(spark, d):
 
 @query(f"WITH {structure_sql.GRAPH} SELECT DISTINCT x.k AS doc_key FROM e x JOIN e y ON x.k = y.k AND x.b = y.a JOIN e z ON x.k = z.k AND y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.b < y.b")
 def motif_triangle(spark, d):
-    """Rings of three atoms, the bonds' smaller ends first."""
-    bonds = cut(structures.as_tables(molecules(spark, d))[1]).select("doc_key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    two = bonds.select("doc_key", F.col("a").alias("b"), F.col("b").alias("c"))
-    return bonds.join(two, ["doc_key", "b"]).join(bonds.select("doc_key", "a", F.col("b").alias("c")), ["doc_key", "a", "c"]).select("doc_key").distinct()
+    """Rings of three atoms, the bonds' smaller ends first: bonds meet within their structure, none is joined by key."""
+    m = molecules(spark, d).where("doc_key is not null").select("doc_key", "_molfile")
+    return structures.where(m, graph.triangles).select("doc_key").distinct()
 
 
 @query("SELECT label, count(*) AS n, count(DISTINCT embedding) AS different FROM embeddings GROUP BY label")

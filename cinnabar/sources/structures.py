@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,6 +137,29 @@ def as_tables(df: DataFrame, key: str = "doc_key", structure: str = "_molfile")
     return graphs.select(key, F.inline("atoms")), graphs.select(key, F.inline("bonds"))
 
 
+def where(df: DataFrame, test: Callable[[graph.Mol], object], structure: str = "_molfile") -> DataFrame:
+    """Rows whose structure can be parsed and passes a test on its graph, with bonds as the text has them.
+
+    All atoms and bonds of a structure are in one row, so what joins them needs no shuffle and no table between.
+    """
+    df = df.where(F.col(structure).isNotNull())
+    at = df.columns.index(structure)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for n, text in enumerate(batch.column(at).to_pylist()):
+                try:
+                    m = molfile.read(text)
+                except ValueError:
+                    continue
+                if test(m):
+                    rows.append(n)
+            yield batch.take(pa.array(rows, pa.int64()))
+
+    return spread(df).mapInArrow(run, df.schema)
+
+
 def write_tsv(df: DataFrame, path: str, extra: list[str] | None = None) -> None:
     """Results as tab-separated SMILES, id, source, similarity to three places, and further fields."""
     df = as_text(df, "smiles", out="#STRUCTURE")

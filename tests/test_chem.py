@@ -151,6 +151,31 @@ def test_circular_fingerprint():
     assert len(fp.folded(set(range(512)))) == 8 and all(w == -1 for w in fp.folded(set(range(512))))
 
 
+def test_bonds_in_rings_are_those_that_cutting_leaves_joined():
+    for text in ("C1CC1", "CCC", "C1CC2CC1CC2CC1CC1", "c1ccc2ccccc2c1CCc1ccccc1", "C12C3C4C1C5C2C3C45", "C1CC1.C1CCC1.C", "C1CC12CC2"):
+        m = smiles.parse(text)
+
+        def joined(a, b, without):
+            seen, row = {a}, [a]
+            for x in row:
+                new = [y for y, k in m.near[x].items() if k != without and y not in seen]
+                seen.update(new)
+                row += new
+            return b in seen
+
+        inner = {k for k, (a, b, _) in enumerate(m.bonds) if joined(a, b, k)}
+        assert graph.ring_bonds(m) == inner
+        assert {m.near[r[i]][r[i - 1]] for r in graph.rings(m) for i in range(len(r))} == inner
+        assert sorted(graph.triangles(m)) == sorted(tuple(sorted(r)) for r in graph.rings(m) if len(r) == 3)
+
+
+def test_a_bond_needs_atoms_that_are_there():
+    with pytest.raises(graph.BadStructure):
+        molfile.parse(block("CC", [(0, 1, 1)]))
+    with pytest.raises(graph.BadStructure):
+        smiles.parse("C$C")
+
+
 def test_a_large_block_is_read():
     n = 653
     m = molfile.read(block(["C"] * n, [(i, i + 1, 1) for i in range(1, n)]))

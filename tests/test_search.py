@@ -9,6 +9,7 @@ from cinnabar.functions import fingerprint as fp
 from cinnabar.functions import predicates as p
 from cinnabar.functions import textquery
 from cinnabar.operators import aggregates, codebook, search
+from cinnabar.plans import registry
 from cinnabar.sources import structures
 from cinnabar.sources.store import Conflict, ReadOnly, Store
 from cinnabar.streaming import ingest
@@ -256,6 +257,14 @@ def test_structures_as_tables(spark):
     assert structures.as_tables(df.limit(0))[0].count() == 0
 
 
+def test_rings_of_three_atoms_are_found_without_joins(spark, tmp_path):
+    texts = ["C1CC1", "CC1OC1C", "C1CCC1", "C12CC1C2", None, "C1CC", "c1ccccc1.N1CC1"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_key long, _molfile string").write.parquet(str(tmp_path / "molecules.parquet"))
+    found = registry.motif_triangle(spark, str(tmp_path))
+    assert sorted(r["doc_key"] for r in found.collect()) == [0, 1, 3, 6]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_files_and_command_line(spark, tmp_path):
     from cinnabar.chem import molfile
 
