@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..chem import fingerprints, match, molfile
+from ..chem.elements import SYMBOLS
 from ..functions import fingerprint as fp
 from ..functions import textquery
 from ..functions.predicates import all_of
@@ -72,6 +73,15 @@ def containment(df: DataFrame, query: list[int], fingerprint: str = "_fingerprin
     return df.where(F.col(fingerprint).isNotNull() & fp.column(fp.contains(fp.words_of(fingerprint, len(query)), fp.literal(query))))
 
 
+def may_contain(matcher: match.Query, structure: str = "_molfile") -> Column:
+    """Whether a structure's text names the elements that a query needs, in either notation: a screen that loses nothing."""
+    named = []
+    for z in sorted(z for z in matcher.need if z != 1):
+        s = SYMBOLS[z - 1]
+        named.append(F.col(structure).contains(s) | F.col(structure).contains(s.lower()) | F.col(structure).rlike(f"#0*{z}"))
+    return all_of(*named)
+
+
 def substructure(df: DataFrame, query: str, most: int | None = None, *filters: Column, key: str = "doc_key", structure: str = "_molfile", screen: str | None = None, mode: str = "sub", all_hits: bool = False) -> DataFrame:
     """All columns with ``similarity`` and ``hits`` of the rows that contain the query.
 
@@ -82,7 +92,7 @@ def substructure(df: DataFrame, query: str, most: int | None = None, *filters: C
     q = match.prepared(molfile.read(query))
     matcher = match.Query(q, mode)
     mine = fingerprints.similarity_fingerprint(q)
-    df = df.where(all_of(F.col(structure).isNotNull(), *filters))
+    df = df.where(all_of(F.col(structure).isNotNull(), *filters, may_contain(matcher, structure)))
     if screen:
         df = containment(df, fingerprints.paths(q), screen)
     # rows pass whole, so that hits needn't be joined to their columns again
@@ -97,9 +107,12 @@ def substructure(df: DataFrame, query: str, most: int | None = None, *filters: C
             rows, sims, hits = [], [], []
             for n, text in enumerate(batch.column(at).to_pylist()):
                 try:
-                    t = match.prepared(molfile.read(text))
+                    t = molfile.read(text)
                 except ValueError:
                     continue
+                if not matcher.possible(t):
+                    continue
+                t = match.prepared(t)
                 found = matcher.all(t) if all_hits else matcher.first(t)
                 if not found:
                     continue
@@ -118,6 +131,41 @@ def substructure(df: DataFrame, query: str, most: int | None = None, *filters: C
     return out.limit(most) if most and most > 0 else out
 
 
+def substructure_hits(df: DataFrame, queries: list[str], *filters: Column, within: list[str] | None = None, key: str = "doc_key", structure: str = "_molfile") -> DataFrame:
+    """(key, hits) of the rows that contain any of a few queries: for each query all its places, as ``substructure`` has them.
+
+    Only rows that contain all of ``within`` count. Each structure is parsed once for all queries, and no similarity is
+    counted. Structures that can't be parsed match nothing; a query that can't be raises.
+    """
+    prepared = lambda texts: [match.Query(match.prepared(molfile.read(x))) for x in texts]
+    some, every = prepared(queries), prepared(within or [])
+    screen = F.lit(False)
+    for x in some:
+        screen = screen | may_contain(x, structure)
+    df = df.where(all_of(F.col(structure).isNotNull(), *filters, *[may_contain(x, structure) for x in every], screen)).select(key, structure)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, hits = [], []
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                try:
+                    t = molfile.read(text)
+                except ValueError:
+                    continue
+                left = [x.possible(t) for x in some]
+                if not any(left) or not all(x.possible(t) for x in every):
+                    continue
+                t = match.prepared(t)
+                found = [x.all(t) if may else [] for x, may in zip(some, left)]
+                if any(found) and all(x.matches(t) for x in every):
+                    rows.append(n)
+                    hits.append([[[None if a is None else a + 1 for a in h] for h in x] for x in found])
+            keys = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(hits, pa.list_(pa.list_(pa.list_(pa.int32()))))], names=[key, "hits"])
+
+    return spread(df).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, hits array<array<array<int>>>")
+
+
 def text_fields(df: DataFrame) -> dict[str, Column]:
     """Token arrays of a molecule table: the catch-all ``text``, ``name``, keyword fields and every property on demand."""
 

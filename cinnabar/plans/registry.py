@@ -561,9 +561,8 @@ def substructure_all_matches(spark, d):
 @query(f"""{structure_sql.path("p.z = 'O'", "q.z IN ('S', 'P')", "r.z = 'N'", "x.o = 2 AND y.o IN (1, 2, 3, 4) AND NOT q.ar")} SELECT k AS doc_key, count(DISTINCT list_sort([x, y, z]))::INT AS matches FROM path WHERE k IN (SELECT e.k FROM e JOIN atom ON atom.k = e.k AND i = e.a WHERE z = 'S') GROUP BY 1""")
 def substructure_query_bonds(spark, d):
     """Any bond, and one of two elements: two queries over all structures, counted together where there is sulfur."""
-    found = [search.substructure(molecules(spark, d), f"O={x}~N", all_hits=True).select("doc_key", F.size("hits").alias("n")) for x in "SP"]
-    both = found[0].unionByName(found[1]).groupBy("doc_key").agg(F.sum("n").cast("int").alias("matches"))
-    return both.join(search.substructure(molecules(spark, d), "S").select("doc_key").distinct(), "doc_key", "left_semi")
+    m = molecules(spark, d).where("doc_key is not null")
+    return search.substructure_hits(m, ["O=S~N", "O=P~N"], within=["S"]).select("doc_key", (F.size(F.col("hits")[0]) + F.size(F.col("hits")[1])).alias("matches"))
 
 
 @query(

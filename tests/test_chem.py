@@ -169,6 +169,20 @@ def test_bonds_in_rings_are_those_that_cutting_leaves_joined():
         assert sorted(graph.triangles(m)) == sorted(tuple(sorted(r)) for r in graph.rings(m) if len(r) == 3)
 
 
+def test_targets_that_a_look_at_elements_and_bonds_rules_out_have_no_match():
+    texts = ["c1ccncc1", "C1=CC=NC=C1", "NS(=O)(=O)C", "[#16](=O)N", "C=S", "OC=O", "[2H]C", "[H][H]", "c1ccccc1-c1ccccc1", "C1=CC=CN1", "*~*", "C[Se]C", "C#N", "[se]1cccc1"]
+    ruled = 0
+    for q in texts:
+        for mode in ("sub", "exact", "auto"):
+            query = match.Query(mol(q), mode)
+            for t in texts:
+                possible = query.possible(smiles.parse(t))
+                assert possible or not query.matches(mol(t)), (q, t, mode)
+                ruled += not possible
+    assert ruled > 200
+    assert not match.Query(mol("O=S~N")).possible(smiles.parse("OSN"))
+
+
 def test_a_bond_needs_atoms_that_are_there():
     with pytest.raises(graph.BadStructure):
         molfile.parse(block("CC", [(0, 1, 1)]))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinnabar import cli
+from cinnabar.chem import molfile, smiles
 from cinnabar.functions import fingerprint as fp
 from cinnabar.functions import predicates as p
 from cinnabar.functions import textquery
@@ -257,6 +258,20 @@ def test_structures_as_tables(spark):
     assert structures.as_tables(df.limit(0))[0].count() == 0
 
 
+def test_a_few_queries_are_matched_in_one_pass(spark, tmp_path):
+    texts = ["NS(=O)(=O)c1ccccc1", "CP(=O)(N)N", "CP(=O)(N)NS(C)(=O)=O", "CSC.NP(C)(C)=O", None, "C1CS", "CS(=O)C.N", "N[#016](=O)C", "CCO", molfile.write(smiles.parse("NS(C)(=O)=O"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_key long, _molfile string")
+    df.write.parquet(str(tmp_path / "molecules.parquet"))
+    single = [{r["doc_key"]: r["hits"] for r in search.substructure(df, q, all_hits=True).collect()} for q in ("O=S~N", "O=P~N")]
+    sulfur = {r["doc_key"] for r in search.substructure(df, "S").collect()}
+    both = search.substructure_hits(df, ["O=S~N", "O=P~N"])
+    assert {r["doc_key"]: r["hits"] for r in both.collect()} == {k: [s.get(k, []) for s in single] for k in single[0].keys() | single[1].keys()}
+    found = registry.substructure_query_bonds(spark, str(tmp_path))
+    assert {r["doc_key"]: r["matches"] for r in found.collect()} == {k: sum(len(s.get(k, [])) for s in single) for k in (single[0].keys() | single[1].keys()) & sulfur} == {0: 2, 2: 4, 3: 1, 7: 1, 9: 2}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_rings_of_three_atoms_are_found_without_joins(spark, tmp_path):
     texts = ["C1CC1", "CC1OC1C", "C1CCC1", "C12CC1C2", None, "C1CC", "c1ccccc1.N1CC1"]
     spark.createDataFrame(list(enumerate(texts)), "doc_key long, _molfile string").write.parquet(str(tmp_path / "molecules.parquet"))
